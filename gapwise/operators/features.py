@@ -266,9 +266,9 @@ def augmented_features(
     d = F.col("dt_sec")
 
     have = out.where(d.isNotNull()).select("_hour", "dt_sec")
-    levels = {"g": [], "h": ["_hour"]}
-    med = level_stats(have, ["_hour"], levels, "dt_sec")
-    mom = tiers(have, ["_hour"], levels).groupBy("level", "_hour").agg(
+    sets = {"g": [], "h": ["_hour"]}
+    med = level_stats(have, ["_hour"], sets, "dt_sec")
+    mom = tiers(have, ["_hour"], sets).groupBy("level", "_hour").agg(
         F.avg("dt_sec").alias("x_mean"), F.stddev_pop("dt_sec").alias("x_std")
     )
     stats = join_on(med, mom, ["level", "_hour"])  # 25 rows

@@ -15,8 +15,8 @@ window over the whole key, wherever the cuts fall.
 ``ranked`` and ``quantiles`` solve the second: equal values collapse to one
 weighted row, and ranks are running sums computed by ``scan``.
 
-Chunking is only planned when the optimizer's size estimate says that the input
-is not small, so small inputs keep the plain one-window plan.
+Chunking is only planned when the tables read are not small, so small inputs
+keep the plain one-window plan.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: settings and their defaults; override with ``spark.conf.set``
 SETTINGS = {
     "gapwise.hot.rows": 4_000_000,  # rows of one key that one task may hold
-    "gapwise.split.bytes": 256 * 1024 * 1024,  # inputs below this are never split
+    "gapwise.split.bytes": 64 * 1024 * 1024,  # tables (compressed) below this are never split
 }
 MARKS = 256  # most chunks one key is cut into
 
@@ -42,13 +42,18 @@ def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(SETTINGS[name])))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of ``df``; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def source_bytes(df: DataFrame) -> int:
+    """Size of the largest table ``df`` reads, from file listings; no job is run.
+
+    The optimizer multiplies both sides of a join, so its estimate for derived
+    tables says little; rows here come from one large table and small ones.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return max(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) < setting(df.sparkSession, "gapwise.split.bytes")
+    return source_bytes(df) < setting(df.sparkSession, "gapwise.split.bytes")
 
 
 def shared_folder(spark: SparkSession) -> str:
