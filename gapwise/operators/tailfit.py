@@ -396,6 +396,45 @@ def calibrate(
     return picked.select(*keys, "_b.*")
 
 
+def calibrate_sample(
+    x: np.ndarray, idx: np.ndarray, candidates: Sequence[float] = CANDIDATES, min_tail: int = 50, q: float = 1e-3,
+    r: int = 5, xi_eps: float = 1e-6,
+) -> dict[str, float | str]:
+    """T16 for one bounded sample, as kept in the state of a stream."""
+    n = len(x)
+    s = np.sort(x)
+    found = []
+    for p in sorted({p for p in candidates if 0 < p < 1}):
+        np_ = n * p
+        if np_ != math.floor(np_):
+            u = s[math.ceil(np_) - 1]
+        else:
+            i = int(np_)
+            u = s[i] if n % 2 else (s[i - 1] + s[i]) / 2
+        if (x > u).sum() < min_tail <= n:
+            u = min(u, s[max(n - min_tail, 0)])
+            if (x > u).sum() < min_tail:
+                u -= abs(u) * 1e-6 + 1e-9
+        over = x > u
+        m = int(over.sum())
+        y, counts = np.unique(x[over] - u, return_counts=True)
+        xi, beta, kind = fit_excesses(y, counts.astype(float), xi_eps) if m else (0.0, 1e-6, "quantile")
+        at = np.sort(idx[over])
+        kept = len(_greedy(at, 0, r)) if m else 0
+        theta = max(kept / m, 1e-6) if kept else 1.0
+        resid = float((x[over] - u).mean()) if m else 0.0
+        prev = found[-1] if found else None
+        move = abs(xi - prev["xi"]) + abs(beta - prev["beta"]) / (abs(beta) + abs(prev["beta"]) + 1e-9) if prev else abs(xi) + abs(beta)
+        found.append(
+            {"u": float(u), "xi": xi, "beta": beta, "theta": theta, "p_ref": kept / n, "q_star": min(q / theta, 1.0),
+             "estimator": kind, "stability": abs(resid) + move + (kind != "mle")}
+        )
+    st = np.array([f["stability"] for f in found])
+    norm = np.ones(len(st)) if st.max() == st.min() else (st.max() - st) / (st.max() - st.min())
+    score = norm - (np.arange(len(st)) / (len(st) - 1) if len(st) > 1 else 0.0)
+    return found[int(np.argmin(st))] if score.max() <= 0 else found[int(np.argmax(score))]
+
+
 def calibrate_tiers(
     df: DataFrame, value: str, user: str = "uid", category: str = "op_category", index: str = "row_index", min_tail: int = 50, **options
 ) -> DataFrame:

@@ -254,7 +254,7 @@ def _(spark, sf):
     return A.audit_summary(g, bad, "source")
 
 
-_TD = f"""{EV}, s0 AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY epoch_s,row_index)*1.0 AS t, value AS y FROM ev), s AS (SELECT uid, t, CASE WHEN t<=20 THEN 0.0 ELSE 30.0 END AS r, y FROM s0),
+_TD = f"""{EV}, s0 AS (SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY epoch_s,row_index) AS DOUBLE) AS t, value AS y FROM ev), s AS (SELECT uid, t, CASE WHEN t<=20 THEN 0.0 ELSE 30.0 END AS r, y FROM s0),
   w AS (SELECT *, lag(t) OVER v t0, lag(r) OVER v r0, lag(y) OVER v y0 FROM s WINDOW v AS (PARTITION BY uid ORDER BY t)),
   b AS (SELECT uid, sum((t-t0)*(abs(r-y)+abs(r0-y0))/2) iae, sum((t-t0)*((r-y)*(r-y)+(r0-y0)*(r0-y0))/2) ise, sum((t-t0)*(abs(r-y)*t+abs(r0-y0)*t0)/2) itae, count(*) FILTER (abs(r-r0)>0.3) steps, arg_max(r,t) rf, arg_max(y,t) yl, max(t) tn, max(t) FILTER (abs(r-r0)>0.3) ati FROM w GROUP BY uid),
   g AS (SELECT w.*, b.tn, b.ati FROM w JOIN b USING (uid) WHERE b.ati IS NOT NULL AND t>=ati-1),
@@ -262,7 +262,7 @@ _TD = f"""{EV}, s0 AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY
     max(t) FILTER (abs(y-30.0)>0.6) lastv, max((y-30.0)/30.0) ov, min(ati)-1 st FROM g GROUP BY uid)"""
 
 
-@query("a22_response_metrics", f"""WITH {_TD} SELECT b.uid, round(iae,4) AS iae, round(ise,4) AS ise, round(itae,4) AS itae, steps=1 AS is_step, round(t90-t10,6)+0.0 AS rise_time,
+@query("a22_response_metrics", f"""WITH {_TD} SELECT b.uid, round(iae,6) AS iae, round(ise,6) AS ise, round(itae,6) AS itae, steps=1 AS is_step, round(t90-t10,6)+0.0 AS rise_time,
   round(CASE WHEN ati IS NULL THEN NULL WHEN lastv IS NULL THEN st WHEN lastv=tn THEN tn ELSE lastv+1 END,6)+0.0 AS settling_time, round(ov*100,6) AS overshoot_pct, round(rf-yl,6)+0.0 AS steady_state_error FROM b LEFT JOIN c USING (uid)""")
 def _(spark, sf):
     from ..scale import running_sum, scan
@@ -271,7 +271,7 @@ def _(spark, sf):
     s = s.select("uid", F.col("t").cast("double").alias("t"), F.col("value").alias("y"))
     s = s.withColumn("r", F.when(F.col("t") <= 20, 0.0).otherwise(30.0))
     m = A.response_metrics(s, ["uid"])
-    return m.select("uid", *[F.round(c, 4).alias(c) for c in ("iae", "ise", "itae")], "is_step",
+    return m.select("uid", *_cols("iae", "ise", "itae"), "is_step",
                     *_cols("rise_time", "settling_time", "overshoot_pct", "steady_state_error"))
 
 

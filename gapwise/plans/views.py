@@ -26,9 +26,8 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    """Event table as an access log in canonical columns."""
-    e = table(spark, sf, "events")
+def as_log(e: DataFrame) -> DataFrame:
+    """Event rows in the canonical columns of an access log."""
     kind = F.col("event_type")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     epoch = epoch_seconds(F.col("ts"))
@@ -55,6 +54,18 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """Event table as an access log in canonical columns."""
+    return as_log(table(spark, sf, "events"))
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same log as a file stream, with the event time for watermarks."""
+    schema = table(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    return as_log(rows).withColumn("ts", F.timestamp_micros(F.round(F.col("epoch_s") * 1e6).cast("long")))
+
+
 EV = """ev AS (
   SELECT event_id AS row_index, CAST(user_id AS VARCHAR) AS uid, epoch_us(ts)/1e6 AS epoch_s,
     'u' || CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(epoch_us(ts)/1e6/43200.0) AS BIGINT) AS VARCHAR) AS session_id,

@@ -39,6 +39,9 @@ def duck(sf):
 
 def run_duck(con, sql):
     cur = con.execute(sql)
+    odd = [f"{d[0]} {d[1]}" for d in cur.description if any(t in str(d[1]).upper() for t in ("DECIMAL", "HUGEINT", "NUMBER(38"))]
+    if odd:
+        print("       type of", odd)
     return [d[0] for d in cur.description], cur.fetchall()
 
 
