@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import chunk_column, join_on, last_seen, scan, split, trailing
+from ..scale import chunk_column, durable, is_cut, join_on, last_seen, scan, split, trailing
 
 
 def _votes(flag: str, n: int):
@@ -91,7 +91,7 @@ def clearing_latch(
     keys, order = list(keys), list(order)
     df = split(df, keys[:1], order[0])
     chunk = chunk_column(order[0])
-    cut = chunk in df.columns
+    cut = is_cut(df, order[0])
     part = keys + ([chunk] if cut else [])
     df = df.withColumns(
         {
@@ -125,7 +125,7 @@ def clearing_latch(
         chain = F.aggregate(
             F.collect_list("_map").over(earlier), F.lit(0).cast("bigint"), lambda s, m: F.element_at(m, (s + 1).cast("int"))
         )
-        starts = maps.select(*part, chain.alias("_from"))  # one row per chunk of a hot key
+        starts = durable(maps.select(*part, chain.alias("_from")))  # one row per chunk of a hot key
         df = join_on(df, F.broadcast(starts), part).withColumn("_from", F.coalesce("_from", F.lit(0)))
     else:
         df = df.withColumn("_from", F.lit(0).cast("bigint"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import chunk_column, durable, join_on, split, union_all
+from ..scale import chunk_column, durable, is_cut, join_on, split, union_all
 
 FLOOR = 1e-12
 SCALE = 1.4826
@@ -66,7 +66,7 @@ def running_stats(
     def round_of(rows: DataFrame, state: DataFrame) -> DataFrame:
         return join_on(rows, state, keys, "inner").groupBy(*keys).applyInPandas(walk, schema)
 
-    if chunk not in df.columns:
+    if not is_cut(df, order[0]):
         return round_of(df, state)
     df = durable(df)
     done = [durable(round_of(df.where(F.col(chunk) <= 0), state))]

@@ -15,6 +15,7 @@ from ..scale import (
     attach,
     chunk_column,
     durable,
+    is_cut,
     is_small,
     join_on,
     quantiles,
@@ -69,7 +70,7 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
     keys = list(keys)
     df = split(df, keys[:1], index)
     chunk = chunk_column(index)
-    cut = chunk in df.columns
+    cut = is_cut(df, index)
     part = keys + ([chunk] if cut else [])
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
@@ -100,7 +101,7 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
 
         never = F.lit(-(2**62)).cast("bigint")
         chain = F.aggregate(F.collect_list(F.struct("_starts", "_ends")).over(earlier), never, follow)
-        starts = reports.select(*part, F.nullif(chain, never).alias("_last"))  # one row per chunk of a hot key
+        starts = durable(reports.select(*part, F.nullif(chain, never).alias("_last")))  # one row per chunk of a hot key
         df = join_on(df, F.broadcast(starts), part)
     else:
         df = df.withColumn("_last", F.lit(None).cast("bigint"))

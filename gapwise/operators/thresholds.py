@@ -265,13 +265,15 @@ def knee_curve(
     at = F.when(F.col("i") == F.col("last"), F.when(span > 0, F.col("b")).otherwise(F.col("a"))).otherwise(
         F.col("a") + F.col("i") * F.col("h")
     )
-    grid = grid.select(*keys, "i", at.alias("log_threshold")).withColumn("pos", F.exp("log_threshold"))
+    grid = grid.select(*keys, "i", at.alias("log_threshold"))
+    # a value that equals the threshold up to rounding does not exceed it
+    grid = grid.withColumn("pos", F.exp("log_threshold") * (1 + 1e-12))
     marks = wv.select(*keys, F.col("x").alias("pos"), "n", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("i"),
                       F.lit(None).cast("double").alias("log_threshold"))
     both = marks.unionByName(grid.withColumns({"n": F.lit(0).cast("bigint"), "kind": F.lit(1)}))
     both = scan(both, keys, ["pos", "kind", "i"], {"upto": running_sum("n"), "all": total("n")})
     curve = both.where("kind = 1").select(
-        *keys, "i", "log_threshold", F.col("pos").alias("threshold"), (F.col("all") - F.col("upto") + 1).alias("sessions")
+        *keys, "i", "log_threshold", F.exp("log_threshold").alias("threshold"), (F.col("all") - F.col("upto") + 1).alias("sessions")
     )
     half = smooth // 2
     if half == 0:

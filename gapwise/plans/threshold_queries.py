@@ -388,7 +388,7 @@ _T6 = f"""{_T2}, sg AS (SELECT g, min(l) l0, max(l) l1, sqrt(greatest(var_pop(l)
  kp0 AS (SELECT sg.g, greatest(l0,tau_log-2*sd) a0, least(l1,tau_log+2*sd) b0, l0, l1 FROM sg JOIN ot USING (g)), kp1 AS (SELECT g, CASE WHEN b0>a0 THEN a0 ELSE l0 END a, CASE WHEN b0>a0 THEN b0 ELSE l1 END b FROM kp0),
  kp AS (SELECT *, CASE WHEN floor((b-a)/0.05)+1<16 THEN (b-a)/15 ELSE 0.05 END AS h FROM kp1), kp2 AS (SELECT *, CAST(CASE WHEN b>a THEN floor((b-a+0.5*h)/h) ELSE 0 END AS INTEGER) AS last FROM kp),
  kg AS (SELECT g, a, b, h, last, CAST(unnest(range(last+1)) AS INTEGER) AS i FROM kp2), kg2 AS (SELECT g, i, last, CASE WHEN i=last THEN CASE WHEN b>a THEN b ELSE a END ELSE a+i*h END AS lt FROM kg),
- kc AS (SELECT kg2.g, i, any_value(lt) AS lt, count(*) FILTER (x>exp(lt))+1 AS sessions FROM kg2 JOIN pos USING (g) GROUP BY kg2.g, i), ks AS (SELECT *, avg(sessions) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS sm FROM kc),
+ kc AS (SELECT kg2.g, i, any_value(lt) AS lt, count(*) FILTER (x>exp(lt)*(1+1e-12))+1 AS sessions FROM kg2 JOIN pos USING (g) GROUP BY kg2.g, i), ks AS (SELECT *, avg(sessions) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS sm FROM kc),
  ke AS (SELECT *, min(lt) OVER q x0, max(lt) OVER q x1, min(sm) OVER q y0, max(sm) OVER q y1, count(*) OVER q m FROM ks WINDOW q AS (PARTITION BY g)),
  kd6 AS (SELECT *, CASE WHEN x1>x0 AND y1>y0 THEN abs((sm-y0)/(y1-y0)+(lt-x0)/(x1-x0)-1)/sqrt(2) END AS d FROM ke),
  kk AS (SELECT g, exp(CASE WHEN max(d) IS NULL THEN max(lt) FILTER (i=floor(m/2)) ELSE (SELECT lt FROM kd6 z WHERE z.g=o.g ORDER BY round(z.d,12) DESC, i LIMIT 1) END) AS knee FROM kd6 o GROUP BY g)"""

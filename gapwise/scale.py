@@ -103,12 +103,20 @@ def chunk_column(order: str) -> str:
     return f"_chunk_{order}"
 
 
+def is_cut(df: DataFrame, order: str) -> bool:
+    """Whether keys of ``df`` are spread over chunks of ``order``."""
+    name = chunk_column(order)
+    return name in df.columns and not df.schema[name].metadata.get("whole", False)
+
+
 def split(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Add ``_chunk_<order>`` (-1 = key not cut) unless ``df`` is small.
 
-    The cuts are approximate quantiles of ``order`` inside each hot key.  The
-    broadcast side has one row per key above ``gapwise.hot.rows`` and about one
-    mark per ``gapwise.hot.rows`` rows, i.e. at most rows / hot.rows of each.
+    The cuts are approximate quantiles of ``order`` inside each hot key.  They
+    are computed once and kept as a small table: one row per key above
+    ``gapwise.hot.rows`` and about one mark per ``gapwise.hot.rows`` rows, i.e. at
+    most rows / hot.rows of each, which bounds the broadcast.  Without hot keys
+    the column is only a note that the check was done.
     """
     name = chunk_column(order)
     if name in df.columns or is_small(df):
@@ -125,7 +133,9 @@ def split(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
     step = F.greatest(F.lit(1), F.floor(F.lit(float(MARKS)) * hot_rows / F.col("_n"))).cast("int")
     thin = F.filter("_m", lambda m, i: (i + 1) % step == 0)
-    marks = marks.where(F.col("_n") > hot_rows).select(*keys, F.array_distinct(thin).alias("_marks"))
+    marks = durable(marks.where(F.col("_n") > hot_rows).select(*keys, F.array_distinct(thin).alias("_marks")))
+    if marks.isEmpty():
+        return df.withColumn(name, F.lit(-1).alias(name, metadata={"whole": True}))
     if keys:
         out = join_on(df, F.broadcast(marks), keys)
     else:
@@ -269,7 +279,7 @@ def scan(
     keys, order = list(keys), list(order)
     df = split(df, keys[:1], order[0])
     chunk = chunk_column(order[0])
-    cut = chunk in df.columns
+    cut = is_cut(df, order[0])
     part = keys + ([chunk] if cut else [])
     by = [F.desc(c) if reverse else F.asc(c) for c in order]
     w = Window.partitionBy(*part).orderBy(*by)
@@ -310,6 +320,7 @@ def scan(
         .where(F.col("_k") > 1)  # only keys that really span a cut: at most two per cut
         .drop("_k")
     )
+    carry = durable(carry)  # kept, so that chained scans do not repeat each other's work
     out = join_on(local, F.broadcast(carry), part)
     return out.select(
         *[c for c in df.columns if c not in steps],
@@ -329,7 +340,13 @@ def weighted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def ranked(wv: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
-    """Add ``upto`` (rows with value <= this) and ``total`` to weighted values."""
+    """Add ``upto`` (rows with value <= this) and ``total`` to weighted values.
+
+    A table derived from large input is written once, as checks and cuts read it
+    several times; its true size may well be small.
+    """
+    if not is_small(wv):
+        wv = durable(wv)
     return scan(wv, keys, [value], {"upto": running_sum(weight), "total": total(weight)})
 
 
