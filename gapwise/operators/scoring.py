@@ -21,22 +21,30 @@ from .latches import clearing_latch, ratio_latch
 from .statistics import lookup
 
 
-def cdf_position(x: Column, cdf: Column) -> Column:
-    """Interpolated share of values up to x from (p, value) points.
-
-    The points are closed with 0 and 1 just outside the first and last value.
-    """
+def closed_points(cdf: Column) -> Column:
+    """(p, value) points in order, closed with 0 and 1 just outside the ends."""
     pts = F.array_sort(F.transform(cdf, lambda c: F.struct(c["value"].alias("v"), c["p"].alias("p"))))
     first, last = F.element_at(pts, 1)["v"], F.element_at(pts, -1)["v"]
     low = first - F.greatest(F.abs(first) * 1e-6, F.lit(1e-9))
     high = last + F.greatest(F.abs(last) * 1e-6, F.lit(1e-9))
-    full = F.concat(
-        F.array(F.struct(low.alias("v"), F.lit(0.0).alias("p"))), pts, F.array(F.struct(high.alias("v"), F.lit(1.0).alias("p")))
-    )
-    below = F.size(F.filter(full, lambda c: c["v"] < x))
-    a, b = F.try_element_at(full, F.greatest(below, F.lit(1))), F.try_element_at(full, below + 1)
-    share = a["p"] + (x - a["v"]) / F.when(b["v"] != a["v"], b["v"] - a["v"]) * (b["p"] - a["p"])
-    return F.when(below == 0, 0.0).when(below >= F.size(full), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    below = F.array(F.struct(low.alias("v"), F.lit(0.0).alias("p")))
+    above = F.array(F.struct(high.alias("v"), F.lit(1.0).alias("p")))
+    return F.concat(below, pts, above)
+
+
+def cdf_position(x: Column, points: Column) -> Column:
+    """Interpolated share of values up to x, one walk over the closed points."""
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("v"), none.alias("p"), none.alias("at"))
+
+    def walk(a, c):
+        slope = (c["p"] - a["p"]) / F.when(c["v"] != a["v"], c["v"] - a["v"])
+        here = F.coalesce(a["p"] + (x - a["v"]) * slope, c["p"])
+        found = F.when(a["at"].isNotNull(), a["at"]).when(x <= c["v"], here)
+        return F.struct(c["v"].alias("v"), c["p"].alias("p"), found.alias("at"))
+
+    share = F.aggregate(points, start, walk, lambda a: F.coalesce(a["at"], F.lit(1.0)))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def breach_severity(x: Column, hi: Column, lo: Column) -> Column:
@@ -68,14 +76,15 @@ def score_rows(
     The latch runs over the rows of one resolved tail entry in input order; rows
     of unseen users share the global entry.
     """
-    out = lookup(rows, quantile_stats, ["tau_hi", "tau_lo", "cdf"]).drop("lookup_level")
+    stats = quantile_stats.withColumn("points", closed_points(F.col("cdf")))
+    out = lookup(rows, stats, ["tau_hi", "tau_lo", "points"]).drop("lookup_level")
     tail = ["u", "xi", "beta", "p_ref", "theta", "q_star", "estimator"]
     key = F.concat_ws("||", "uid", "op_category")
     out = lookup(out, tail_stats.withColumn("entry", key), [*tail, "entry"]).drop("lookup_level")
     x, y = F.col(value), F.greatest(F.col(domain) - F.col("u"), F.lit(0.0))
     level = adaptive_level(F.col("u"), F.col("xi"), F.col("beta"), F.col("p_ref"), F.col("q_star"))
     p = tail_probability(y, F.col("xi"), F.col("beta"), F.col("p_ref"))
-    share = cdf_position(x, F.col("cdf"))
+    share = cdf_position(x, F.col("points"))
     out = out.withColumns(
         {
             "tau_t": at_least(F.exp(level), 1e-12),
@@ -89,7 +98,7 @@ def score_rows(
     )
     out = out.withColumns(
         {"s_evt": at_least(x, 0.0) / F.col("tau_t"), "neglog10_p": neg_log10(F.col("p_upper_spot"))}
-    ).drop("cdf")
+    ).drop("points")
     out = clearing_latch(out, ["entry"], [index], "s_evt", k, n, h)
     return out.withColumn("alarm_reason", alarm_reason(x, F.col("tau_hi"), F.col("tau_lo"), F.col("alarm")))
 

@@ -11,6 +11,10 @@ from ..functions.hashing import session_key
 from ..scale import at_least, first_of, join_on, last_seen, previous, running_sum, scan
 
 
+# fixed value: version text that enters session ids
+RULE_VERSION = "otsu+kneedle-v1"
+
+
 def _number_sessions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, epoch: str
 ) -> DataFrame:
@@ -58,7 +62,7 @@ def sessions_in_arrival_order(
     df: DataFrame,
     idle: float = 1800.0,
     key: bytes | None = None,
-    version: str = "v1",
+    version: str = RULE_VERSION,
     user: str = "uid",
     epoch: str = "epoch_s",
     index: str = "row_index",

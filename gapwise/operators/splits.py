@@ -127,13 +127,16 @@ def group_holdout(ranked: DataFrame, val_fraction: float, seed: int, group: str
 
 
 def late_holdout(ranked: DataFrame, val_fraction: float) -> DataFrame:
-    """G5 without groups: the last sessions; train on sessions that ended before."""
+    """G5 without groups: the last sessions; train on sessions that ended before,
+    on all other sessions if none did."""
     first = F.col("total") - F.greatest(F.lit(1), F.ceil(F.col("total") * val_fraction))
     val = F.col("rank") >= first
     cut = ranked.where(val).agg(F.min("start_s").alias("_cutoff"))
     out = attach(ranked, cut, [])
-    role = F.when(val, "val").when(F.col("end_s") <= F.col("_cutoff"), "train")
-    return out.withColumn("role", role).where("role IS NOT NULL").drop("_cutoff")
+    early = out.where(~val).agg(F.coalesce(F.min("end_s") <= F.first("_cutoff"), F.lit(False)).alias("_early"))
+    out = attach(out, early, [])
+    role = F.when(val, "val").when((F.col("end_s") <= F.col("_cutoff")) | ~F.col("_early"), "train")
+    return out.withColumn("role", role).where("role IS NOT NULL").drop("_cutoff", "_early")
 
 
 def partition_sizes(n: int) -> tuple[int, int, int]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import tail_threshold
+from ..functions.tails import adaptive_level, tail_threshold
 from ..scale import (
     attach,
     chunk_column,
@@ -168,7 +168,7 @@ def _search(n: float, mean: float, var: float):
 
 
 def _bounded(point: tuple[float, float], bounds: tuple[float, float]) -> tuple[float, float]:
-    return min(bounds[1], max(bounds[0], point[0])), math.exp(min(700.0, max(-700.0, point[1])))
+    return float(min(bounds[1], max(bounds[0], point[0]))), math.exp(min(700.0, max(-700.0, point[1])))
 
 
 def _accept(point: tuple[float, float], mean: float, xi_eps: float, bounds) -> tuple[float, float] | None:
@@ -457,15 +457,18 @@ def reestimate(
     """Parameters per entry and epoch; an epoch is ``every`` consecutive rows of an entry.
 
     The rows of an epoch that exceed its base level give the parameters of the
-    next one, if there are enough of them.  Epochs are sequential by definition;
-    all entries advance together.
+    next one, if there are enough of them.  ``tau`` never falls from epoch to
+    epoch, except to the end point of a bounded tail (C4).  Epochs are
+    sequential by definition; all entries advance together.
     """
     keys = list(keys)
     names = ["u", "xi", "beta", "theta", "p_ref", "q_star"]
     rows = scan(df.select(*keys, value, index), keys, [index], {"_i": running_sum(F.lit(1))})
     rows = durable(rows.withColumn("epoch", F.floor((F.col("_i") - 1) / every).cast("int")).select(*keys, value, index, "epoch"))
     last = rows.agg(F.max("epoch")).first()[0] or 0
-    current = entries.select(*keys, *names).withColumns({"epoch": F.lit(0), "refit": F.lit(False)})
+    level = adaptive_level(*[F.col(c) for c in ("u", "xi", "beta", "p_ref", "q_star")])
+    end = F.when(F.col("xi") < 0, F.col("u") - F.col("beta") / F.when(F.col("xi") != 0, F.col("xi"))).otherwise(float("inf"))
+    current = entries.select(*keys, *names).withColumns({"tau": level, "epoch": F.lit(0), "refit": F.lit(False)})
     current = durable(current)
     done = [current]
     full = rows.groupBy(*keys, "epoch").agg((F.count(F.lit(1)) == every).alias("_full"))
@@ -479,10 +482,10 @@ def reestimate(
         fresh = fresh.select(*keys, F.struct(*names).alias("_f"))
         nxt = attach(current, fresh, keys)
         nxt = nxt.select(
-            *keys, *[F.coalesce(F.col(f"_f.{c}"), F.col(c)).alias(c) for c in names],
+            *keys, *[F.coalesce(F.col(f"_f.{c}"), F.col(c)).alias(c) for c in names], "tau",
             F.lit(e + 1).alias("epoch"), F.col("_f").isNotNull().alias("refit"),
         )
-        current = durable(nxt)
+        current = durable(nxt.withColumn("tau", F.least(end, F.greatest(level, "tau"))))
         done.append(current)
     return union_all(done)
 

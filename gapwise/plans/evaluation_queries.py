@@ -32,7 +32,8 @@ def _sql(*names):
 
 def _with_quantiles(spark, sf):
     g = gaps(spark, sf).where("delta_seconds IS NOT NULL")
-    return T.lookup(g, durable(quantile_stats(spark, sf)), ["tau_hi", "tau_lo", "cdf"])
+    stats = quantile_stats(spark, sf).withColumn("points", S.closed_points(F.col("cdf")))
+    return T.lookup(g, durable(stats), ["tau_hi", "tau_lo", "points"])
 
 
 _PTS = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -63,7 +64,7 @@ def _cdf_sql():
 @query("c1_empirical_cdf", f"WITH {_C1} SELECT row_index, round({_cdf_sql()},6)+0.0 AS p_lower FROM pp")
 def _(spark, sf):
     rows = _with_quantiles(spark, sf)
-    return rows.select("row_index", r6(S.cdf_position(F.col("delta_seconds"), F.col("cdf"))).alias("p_lower"))
+    return rows.select("row_index", r6(S.cdf_position(F.col("delta_seconds"), F.col("points"))).alias("p_lower"))
 
 
 @query("c2_breach_severity", f"""WITH {_TIERS} SELECT a.row_index, round(CASE WHEN a.delta_seconds>r.tau_hi THEN a.delta_seconds/greatest(r.tau_hi,1e-9) WHEN a.delta_seconds<r.tau_lo THEN greatest(abs(r.tau_lo),1e-9)/greatest(a.delta_seconds,1e-9) ELSE 1 END,6)+0.0 AS s_q

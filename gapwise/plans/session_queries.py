@@ -77,7 +77,7 @@ def _arrival(spark, sf):
 
 
 @query("w5_sessions_arrival", f"""WITH {_ARR} SELECT row_index, split_reason, CAST(ss AS BIGINT) AS session_sequence, si AS session_index,
-  round(CASE WHEN split_reason='continuous' THEN d END,6)+0.0 AS delta_seconds, {_hmac_sql("uid || '|' || CAST(CAST(floor(st) AS BIGINT) AS VARCHAR) || '|v1'")} AS generated_session_id FROM a4""")
+  round(CASE WHEN split_reason='continuous' THEN d END,6)+0.0 AS delta_seconds, {_hmac_sql("uid || '|' || CAST(CAST(floor(st) AS BIGINT) AS VARCHAR) || '|otsu+kneedle-v1'")} AS generated_session_id FROM a4""")
 def _(spark, sf):
     out = S.sessions_in_arrival_order(_arrival(spark, sf), idle=IDLE, key=SECRET)
     return out.select(

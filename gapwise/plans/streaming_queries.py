@@ -29,7 +29,7 @@ def _(spark, sf):
 
 
 @query("st1_stream_sessions", f"""WITH {_ARR} SELECT row_index, split_reason, CAST(ss AS BIGINT) AS session_sequence, si AS session_index,
-  round(CASE WHEN split_reason='continuous' THEN d END,6)+0.0 AS delta_seconds, {_hmac_sql("uid || '|' || CAST(CAST(floor(st) AS BIGINT) AS VARCHAR) || '|v1'")} AS generated_session_id FROM a4""")
+  round(CASE WHEN split_reason='continuous' THEN d END,6)+0.0 AS delta_seconds, {_hmac_sql("uid || '|' || CAST(CAST(floor(st) AS BIGINT) AS VARCHAR) || '|otsu+kneedle-v1'")} AS generated_session_id FROM a4""")
 def _(spark, sf):
     e = event_stream(spark, sf)
     t = F.when(F.col("k") % 20 == 0, F.col("epoch_s") - 200000.0).otherwise(F.col("epoch_s"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.contract import LOG_COLUMNS
+from ..scale import durable
 
 
 def read_log_csv(
@@ -16,9 +17,9 @@ def read_log_csv(
 ) -> DataFrame:
     """Contract CSV files as text columns with a ``row_index``.
 
-    The index orders rows by file, block and position, and rows rejected later
-    keep their number, as it is given before validation.  Column names come
-    from the header of the files; a missing contract column is an error.
+    Column names come from the header of the files; a missing contract column is
+    an error.  Rows are numbered before validation, so rejected rows keep their
+    number.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = (
@@ -35,7 +36,22 @@ def read_log_csv(
     missing = [c for c in columns if c not in df.columns]
     if strict and missing:
         raise ValueError(f"missing columns: {missing}")
-    return df.select("*", F.monotonically_increasing_id().alias("row_index"))
+    return number_rows(df)
+
+
+def number_rows(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """0-based position of each row in the input: file name, block, place in the block.
+
+    Tasks read blocks in any order, so a first pass counts the rows of each
+    block; that table has one row per file split.
+    """
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = df.select("*", *where).withColumn("_id", F.monotonically_increasing_id())
+    blocks = durable(rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(starts), ["_file", "_block"])
+    return out.withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).select(*df.columns, name)
 
 
 def read_events(

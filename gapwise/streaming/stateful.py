@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.hashing import session_key
 from ..operators.latches import _transitions
+from ..operators.sessions import RULE_VERSION
 from ..operators.tailfit import CANDIDATES, calibrate_sample
 
 
@@ -38,7 +39,7 @@ def _apply(df: DataFrame, keys, step: Callable, out: str, state: str, timeout=Gr
 
 def stream_sessions(
     df: DataFrame, idle: float = 1800.0, user: str = "uid", epoch: str = "epoch_s", index: str = "row_index",
-    source_session: str = "session_id", key: bytes | None = None, version: str = "v1",
+    source_session: str = "session_id", key: bytes | None = None, version: str = RULE_VERSION,
 ) -> DataFrame:
     """ST1: W5 on a stream; the last row of each user is carried across triggers."""
 
