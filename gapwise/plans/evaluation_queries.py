@@ -292,11 +292,11 @@ def _(spark, sf):
     return out.select("row_index", "first_value")
 
 
-@query("j5_aligned_report", f"WITH {EV} SELECT count(*) AS rows, count(*) FILTER (k%50=0) AS unmatched, count(*) FILTER (k%50<>0 AND k%7=0) AS different FROM ev")
+@query("j5_aligned_report", f"WITH {GAP} SELECT count(*) AS rows, count(*) FILTER (time_label='initial') AS unmatched, count(*) FILTER (time_label<>'initial' AND label=1) AS different FROM gap")
 def _(spark, sf):
-    e = events(spark, sf).select("row_index", "uid", "value", "k")
-    b = e.where(F.col("k") % 50 != 0).withColumn("value", F.when(F.col("k") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))
-    return J.aligned_report(e, b, ["uid", "value"])
+    g = gaps(spark, sf)
+    scored_rows = g.where("time_label <> 'initial'").withColumn("value", F.col("value") + F.col("label"))
+    return J.aligned_report(g, scored_rows, ["uid", "value"])
 
 
 def _session_rows(spark, sf):
@@ -308,11 +308,12 @@ _ST = SES + """, st AS (SELECT sid AS session_id, any_value(uid) AS grp, min(epo
 
 
 def _roll(spark, sf):
-    r = G.ordered_sessions(_session_rows(spark, sf))
-    return G.rolling_origin(r, train=500, val=200, test=200, step=300, purge=20, embargo=30, max_folds=4)
+    s = durable(_session_rows(spark, sf))
+    n = s.count()
+    return G.rolling_origin(G.ordered_sessions(s), train=n // 2, val=n // 10, test=n // 10, step=n // 10, purge=20, embargo=30)
 
 
-_G2 = _ST + """, fd AS (SELECT unnest(range(4)) AS fold), ra AS (SELECT * FROM (SELECT fold, rk.*, CASE WHEN rank<500+fold*300-30 THEN 'train' WHEN rank>=520+fold*300 AND rank<720+fold*300 THEN 'validation' WHEN rank>=720+fold*300 AND rank<920+fold*300 THEN 'test' END AS role FROM rk CROSS JOIN fd WHERE 920+fold*300<=total) WHERE role IS NOT NULL)"""
+_G2 = _ST + """, fd AS (SELECT unnest(range(9)) AS fold), fe AS (SELECT fold, rk.*, total//2+fold*(total//10) AS te, total//10 AS v FROM rk CROSS JOIN fd), ra AS (SELECT * FROM (SELECT *, CASE WHEN rank<te-30 THEN 'train' WHEN rank>=te+20 AND rank<te+20+v THEN 'validation' WHEN rank>=te+20+v AND rank<te+20+2*v THEN 'test' END AS role FROM fe WHERE te+20+2*v<=total) WHERE role IS NOT NULL)"""
 
 
 @query("j6_fold_events", f"WITH {_G2} SELECT row_index, uid, sid FROM ses WHERE sid IN (SELECT session_id FROM ra WHERE fold=1 AND role='validation')")
@@ -322,25 +323,25 @@ def _(spark, sf):
     return J.rows_of_fold(ev, a, 1, "validation", "sid").select("row_index", "uid", "sid")
 
 
-@query("j7_group_antijoin", f"WITH {_ST} SELECT session_id FROM st WHERE grp NOT IN (SELECT grp FROM rk WHERE rank>=total-100)")
+@query("j7_group_antijoin", f"WITH {_ST} SELECT session_id FROM st WHERE grp NOT IN (SELECT grp FROM rk WHERE rank>=total-total//30)")
 def _(spark, sf):
     r = G.ordered_sessions(_session_rows(spark, sf))
-    held = r.where(F.col("rank") >= F.col("total") - 100)
+    held = r.where(F.col("rank") >= F.col("total") - F.floor(F.col("total") / 30))
     return J.without_groups(r, held, ["group"]).select("session_id")
 
 
-@query("j8_merged_intervals", f"""WITH {_ST}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM rk WHERE rank%20=0), r AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+@query("j8_merged_intervals", f"""WITH {_G2}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM ra WHERE fold=1 AND role='validation'), r AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
   g AS (SELECT s, e, sum(CASE WHEN reach IS NULL OR s>reach THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM r) SELECT min(s) AS start_s, max(e) AS end_s FROM g GROUP BY g""")
 def _(spark, sf):
     return J.merged_intervals(_fences(spark, sf), "start_s", "end_s")
 
 
 def _fences(spark, sf):
-    r = G.ordered_sessions(_session_rows(spark, sf)).where(F.col("rank") % 20 == 0)
+    r = _roll(spark, sf).where("fold = 1 AND role = 'validation'")
     return r.select((F.col("start_s") - 60).alias("start_s"), (F.col("end_s") + 120).alias("end_s"))
 
 
-@query("j8_interval_antijoin", f"WITH {_ST}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM rk WHERE rank%20=0) SELECT row_index, uid FROM ses WHERE NOT EXISTS (SELECT 1 FROM i WHERE epoch_s>=s AND epoch_s<=e)")
+@query("j8_interval_antijoin", f"WITH {_G2}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM ra WHERE fold=1 AND role='validation') SELECT row_index, uid FROM ses WHERE NOT EXISTS (SELECT 1 FROM i WHERE epoch_s>=s AND epoch_s<=e)")
 def _(spark, sf):
     rows = events(spark, sf).select("row_index", "uid", "epoch_s")
     return J.outside_intervals(rows, _fences(spark, sf), "epoch_s").select("row_index", "uid")
@@ -354,10 +355,11 @@ def _(spark, sf):
     )
 
 
-@query("u2_overlap", f"WITH {EV} SELECT uid FROM ev WHERE k<3 INTERSECT SELECT uid FROM ev WHERE k>96")
+@query("u2_overlap", f"WITH {EV} SELECT uid FROM ev WHERE event='purchase' AND value>90 INTERSECT SELECT uid FROM ev WHERE event='error' AND value>90")
 def _(spark, sf):
     e = events(spark, sf)
-    return J.overlap(e.where("k < 3"), e.where("k > 96"), "uid")
+    big = e.where("value > 90")
+    return J.overlap(big.where("event = 'purchase'"), big.where("event = 'error'"), "uid")
 
 
 @query("u3_distinct", f"WITH {EV} SELECT DISTINCT uid, op_category FROM ev")
@@ -523,13 +525,13 @@ def _(spark, sf):
     return E.macro_by_user(per, ["method"]).select("method", *_cols("average_precision", "roc_auc", "f1"), "users")
 
 
-@query("e13_method_evaluation", f"""WITH {_MET}, half AS (SELECT *, row_index%2 AS h FROM mr), hs AS (SELECT method, score, sum(label) pos, sum(1-label) neg FROM half WHERE h=0 GROUP BY 1,2), hc AS (SELECT *, sum(pos) OVER w tp, sum(neg) OVER w fp, sum(pos) OVER (PARTITION BY method) p FROM hs WINDOW w AS (PARTITION BY method ORDER BY score DESC)),
+@query("e13_method_evaluation", f"""WITH {_MET}, half AS (SELECT *, CASE WHEN epoch_s<1705363200 THEN 0 ELSE 1 END AS h FROM mr), hs AS (SELECT method, score, sum(label) pos, sum(1-label) neg FROM half WHERE h=0 GROUP BY 1,2), hc AS (SELECT *, sum(pos) OVER w tp, sum(neg) OVER w fp, sum(pos) OVER (PARTITION BY method) p FROM hs WINDOW w AS (PARTITION BY method ORDER BY score DESC)),
   th AS (SELECT method, arg_max(score, struct_pack(a := round(2*tp/(tp+fp+p),12), b := -score)) AS threshold FROM hc GROUP BY method), ts AS (SELECT method, count(*) FILTER (label=1 AND score>=threshold) tp, count(*) FILTER (label=0 AND score>=threshold) fp, count(*) FILTER (label=1 AND score<threshold) fn FROM half JOIN th USING (method) WHERE h=1 GROUP BY method)
   SELECT method, threshold, tp, fp, fn, round(2*tp/(2*tp+fp+fn),6) AS f1 FROM ts JOIN th USING (method)""")
 def _(spark, sf):
     m = _method_rows(spark, sf)
-    learn = E.best_f1(E.score_curve(m.where(F.col("row_index") % 2 == 0), ["method"], "score", "label"), ["method"], "smaller")
-    test = S.apply_calibration(m.where(F.col("row_index") % 2 == 1), learn, ["method"], "score", "pred")
+    learn = E.best_f1(E.score_curve(m.where("epoch_s < 1705363200"), ["method"], "score", "label"), ["method"], "smaller")
+    test = S.apply_calibration(m.where("epoch_s >= 1705363200"), learn, ["method"], "score", "pred")
     out = E.evaluate(test, ["method"], "score", "label", "pred").join(learn.select("method", "threshold"), "method")
     return out.select("method", "threshold", "tp", "fp", "fn", *_cols("f1"))
 
@@ -618,15 +620,15 @@ def _(spark, sf):
     return _roll(spark, sf).select("fold", "session_id", "role")
 
 
-_G3 = _ST + """, fd AS (SELECT unnest(range(3)) AS fold), r3 AS (SELECT fold, rk.*, CASE WHEN rank<total-3*400+fold*400 THEN 'train' WHEN rank<total-3*400+fold*400+200 THEN 'dev' WHEN rank<total-3*400+fold*400+400 THEN 'test' END AS role FROM rk CROSS JOIN fd),
+_G3 = _ST + """, fd AS (SELECT unnest(range(3)) AS fold), r3 AS (SELECT fold, rk.*, CASE WHEN rank<total-3*(2*(total//15))+fold*(2*(total//15)) THEN 'train' WHEN rank<total-3*(2*(total//15))+fold*(2*(total//15))+total//15 THEN 'dev' WHEN rank<total-3*(2*(total//15))+fold*(2*(total//15))+2*(total//15) THEN 'test' END AS role FROM rk CROSS JOIN fd),
  bd AS (SELECT fold, min(start_s) FILTER (role='dev') AS d0, max(end_s) FILTER (role='test') AS t1 FROM r3 GROUP BY fold), eg AS (SELECT DISTINCT fold, grp FROM r3 WHERE role IN ('dev','test') AND CAST(grp AS INTEGER)%2=0),
  r3k AS (SELECT r3.* FROM r3 JOIN bd USING (fold) WHERE role IS NOT NULL AND (role<>'train' OR (end_s<=d0 AND NOT EXISTS (SELECT 1 FROM r3 x WHERE x.fold=r3.fold AND x.role IN ('dev','test') AND x.grp=r3.grp) AND NOT (start_s>=t1 AND start_s<t1+3600))))"""
 
 
 @query("g3_rolling_purged", f"WITH {_G3} SELECT CAST(fold AS INTEGER) AS fold, session_id, role FROM r3k")
 def _(spark, sf):
-    r = G.ordered_sessions(_session_rows(spark, sf))
-    return G.rolling_purged(r, folds=3, horizon=200, embargo_s=3600.0).select("fold", "session_id", "role")
+    s = durable(_session_rows(spark, sf))
+    return G.rolling_purged(G.ordered_sessions(s), folds=3, horizon=s.count() // 15, embargo_s=3600.0).select("fold", "session_id", "role")
 
 
 @query("g4_auto_embargo", f"""WITH {_ST}, gp AS (SELECT epoch_s-lag(epoch_s) OVER (PARTITION BY sid ORDER BY epoch_s,row_index) AS g FROM ses) SELECT round(greatest((SELECT max(end_s-start_s) FROM st),2*(SELECT median(g) FROM gp)),6) AS embargo_s""")

@@ -281,20 +281,17 @@ def _(spark, sf):
     return S.transition_findings(rows).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ROT = f"""{EV}, r AS (SELECT row_index, epoch_s, CAST(floor(epoch_s/86400) AS BIGINT) AS day FROM ev WHERE NOT (CAST(floor(epoch_s/86400) AS BIGINT)%5=0 AND (epoch_s%86400)>80000)),
+_ROT = f"""{EV}, r AS (SELECT row_index, epoch_s, CAST(floor(epoch_s/86400) AS BIGINT) AS day FROM ev),
   f AS (SELECT DISTINCT day FROM r), b AS (SELECT day AS prev_day, lead(day) OVER (ORDER BY day) AS next_day FROM f),
   c AS (SELECT prev_day, next_day, CAST(next_day AS DOUBLE)*CAST(86400.0 AS DOUBLE) AS t FROM b WHERE next_day IS NOT NULL),
-  p AS (SELECT c.prev_day, c.t, count(*) FILTER (r.day=c.prev_day AND r.epoch_s>=t-3600 AND r.epoch_s<=t) AS pn, max(r.epoch_s) FILTER (r.day=c.prev_day AND r.epoch_s>=t-3600 AND r.epoch_s<=t) AS pmax,
-     count(*) FILTER (r.day=c.next_day AND r.epoch_s>=t AND r.epoch_s<=t+3600) AS nn, min(r.epoch_s) FILTER (r.day=c.next_day AND r.epoch_s>=t AND r.epoch_s<=t+3600) AS nmin FROM c JOIN r ON r.day IN (c.prev_day,c.next_day) GROUP BY c.prev_day, c.t)"""
+  p AS (SELECT c.prev_day, c.t, count(*) FILTER (r.day=c.prev_day AND r.epoch_s>=t-300 AND r.epoch_s<=t) AS pn, max(r.epoch_s) FILTER (r.day=c.prev_day AND r.epoch_s>=t-300 AND r.epoch_s<=t) AS pmax,
+     count(*) FILTER (r.day=c.next_day AND r.epoch_s>=t AND r.epoch_s<=t+300) AS nn, min(r.epoch_s) FILTER (r.day=c.next_day AND r.epoch_s>=t AND r.epoch_s<=t+300) AS nmin FROM c JOIN r ON r.day IN (c.prev_day,c.next_day) GROUP BY c.prev_day, c.t)"""
 
 
 @query("w17_rotation_audit", f"""WITH {_ROT} SELECT t AS boundary_s, pn AS previous_count, nn AS next_count, round(nmin-pmax,6)+0.0 AS gap_s,
-   array_to_string(list_filter([CASE WHEN pn=0 THEN 'missing_previous_window' END, CASE WHEN nn=0 THEN 'missing_next_window' END, CASE WHEN nmin-pmax>3600 THEN 'gap_exceeds_window' END], lambda x: x IS NOT NULL),',') AS issues FROM p""")
+   array_to_string(list_filter([CASE WHEN pn=0 THEN 'missing_previous_window' END, CASE WHEN nn=0 THEN 'missing_next_window' END, CASE WHEN nmin-pmax>300 THEN 'gap_exceeds_window' END], lambda x: x IS NOT NULL),',') AS issues FROM p""")
 def _(spark, sf):
-    e = events(spark, sf)
-    day = F.floor(F.col("epoch_s") / 86400)
-    rows = e.where(~((day % 5 == 0) & (F.pmod(F.col("epoch_s"), F.lit(86400.0)) > 80000))).select("epoch_s")
-    out = A.rotation_audit(rows, window_s=3600.0)
+    out = A.rotation_audit(events(spark, sf).select("epoch_s"), window_s=300.0)
     return out.select("boundary_s", "previous_count", "next_count", r6("gap_s").alias("gap_s"), F.array_join("issues", ",").alias("issues"))
 
 

@@ -57,7 +57,7 @@ def _(spark, sf):
     )
 
 
-@query("s3_mixed_formats", f"WITH {EV} SELECT row_index, uid, value FROM ev WHERE k<90")
+@query("s3_mixed_formats", f"WITH {EV} SELECT row_index, uid, value FROM ev WHERE value>5")
 def _(spark, sf):
     base = _folder(spark)
     e = events(spark, sf).select("row_index", "uid", "value", "k")
@@ -65,21 +65,21 @@ def _(spark, sf):
     sinks.write_table(e.where("row_index % 3 = 1"), f"{base}/b.json", "json")
     sinks.write_table(e.where("row_index % 3 = 2"), f"{base}/c.parquet")
     schema = "row_index bigint, uid string, value double, k int"
-    df = logs.read_events(spark, [f"{base}/a.csv", f"{base}/b.json", f"{base}/c.parquet"], schema, where=F.col("k") < 90)
+    df = logs.read_events(spark, [f"{base}/a.csv", f"{base}/b.json", f"{base}/c.parquet"], schema, where=F.col("value") > 5)
     return df.select("row_index", "uid", "value")
 
 
-@query("s4_processed_scan", f"WITH {EV} SELECT 'csv' AS form, row_index, uid FROM ev WHERE k<10 UNION ALL SELECT 'parquet', row_index, uid FROM ev WHERE k>=10")
+@query("s4_processed_scan", f"WITH {EV} SELECT 'csv' AS form, row_index, uid, value AS value FROM ev UNION ALL SELECT 'parquet', row_index, uid, value+1 FROM ev")
 def _(spark, sf):
-    e = events(spark, sf).select("row_index", "uid", "k")
+    e = events(spark, sf).select("row_index", "uid", "value")
     a, b = _folder(spark), _folder(spark)
-    sinks.write_table(e.where("k < 10"), f"{a}/events.csv", "csv")
-    sinks.write_table(e.where("k < 10"), f"{b}/events.csv", "csv")
-    sinks.write_table(e.where("k >= 10"), f"{b}/events.parquet")
-    schema = "row_index bigint, uid string, k int"
+    sinks.write_table(e, f"{a}/events.csv", "csv")
+    sinks.write_table(e, f"{b}/events.csv", "csv")
+    sinks.write_table(e.withColumn("value", F.col("value") + 1), f"{b}/events.parquet")
+    schema = "row_index bigint, uid string, value double"
     one = logs.read_processed(spark, a, schema).withColumn("form", F.lit("csv"))
     two = logs.read_processed(spark, b, schema).withColumn("form", F.lit("parquet"))
-    return one.unionByName(two).drop("k")
+    return one.unionByName(two)
 
 
 @query("s6_feature_sink", f"WITH {GAP} SELECT row_index, uid, round(delta_seconds,6)+0.0 AS delta_seconds, time_label FROM gap")
