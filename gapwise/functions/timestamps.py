@@ -11,7 +11,7 @@ RFC3339_FORM = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """Timestamp column to epoch seconds, independent of the session time zone."""
+    """Timestamp column to epoch seconds; zone-less timestamps are read in the session time zone."""
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 

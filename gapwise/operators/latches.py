@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import chunk_column, durable, is_cut, join_on, last_seen, scan, split, trailing
+from ..scale import chunk_column, durable, is_cut, join_on, last_seen, scan, split, spread, trailing
 
 
 def _votes(flag: str, n: int):
@@ -120,7 +120,7 @@ def clearing_latch(
         slim = df.where(F.col(chunk) >= 0).select(*dict.fromkeys([*part, *order, "_e", "_r"]))
         types = dict(df.dtypes)
         schema = ", ".join([f"`{c}` {types[c]}" for c in part] + ["_map array<bigint>"])
-        maps = slim.groupBy(*part).applyInPandas(effect, schema)
+        maps = spread(slim, part).groupBy(*part).applyInPandas(effect, schema)
         earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
         chain = F.aggregate(
             F.collect_list("_map").over(earlier), F.lit(0).cast("bigint"), lambda s, m: F.element_at(m, (s + 1).cast("int"))
@@ -131,4 +131,4 @@ def clearing_latch(
         df = df.withColumn("_from", F.lit(0).cast("bigint"))
     fields = [f for f in df.schema.fields if f.name not in ("_e", "_r", "_from")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["alarm boolean"])
-    return df.groupBy(*part).applyInPandas(run, schema)
+    return spread(df, part).groupBy(*part).applyInPandas(run, schema)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import chunk_column, durable, is_cut, join_on, split, union_all
+from ..scale import chunk_column, durable, is_cut, join_on, split, spread, union_all
 
 FLOOR = 1e-12
 SCALE = 1.4826
@@ -64,7 +64,7 @@ def running_stats(
     state = start.select(*keys, F.col("x_med").alias("_m"), F.col("x_smad").alias("_s"))
 
     def round_of(rows: DataFrame, state: DataFrame) -> DataFrame:
-        return join_on(rows, state, keys, "inner").groupBy(*keys).applyInPandas(walk, schema)
+        return spread(join_on(rows, state, keys, "inner"), keys).groupBy(*keys).applyInPandas(walk, schema)
 
     if not is_cut(df, order[0]):
         return round_of(df, state)

@@ -23,6 +23,7 @@ from ..scale import (
     running_sum,
     scan,
     split,
+    spread,
     table_quantiles,
     tiers,
     total,
@@ -92,7 +93,7 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
     if cut:
         hot = df.where(F.col(chunk) >= 0).select(*dict.fromkeys([*part, index]))
         fields = ", ".join([f"`{c}` {types[c]}" for c in part] + ["_starts array<bigint>", "_ends array<bigint>"])
-        reports = hot.groupBy(*part).applyInPandas(report, fields)
+        reports = spread(hot, part).groupBy(*part).applyInPandas(report, fields)
         earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
 
         def follow(last, rep):
@@ -108,7 +109,7 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
     if not part:
         df, part = df.withColumn("_one", F.lit(1)), ["_one"]
         return df.groupBy(*part).applyInPandas(lambda p: thin(p.drop(columns="_one")), schema)
-    return df.groupBy(*part).applyInPandas(thin, schema)
+    return spread(df, part).groupBy(*part).applyInPandas(thin, schema)
 
 
 # fitting ------------------------------------------------------------------------
@@ -276,9 +277,10 @@ def fit_tails(exc: DataFrame, keys: Sequence[str], xi_eps: float = 1e-6, bounds=
         return pd.DataFrame([[*group, *got]])
 
     if is_small(exc):
-        return exc.groupBy(*keys).applyInPandas(fit, schema)
+        return (spread(exc, keys) if keys else exc).groupBy(*keys).applyInPandas(fit, schema)
     sizes = durable(exc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")))
-    out = attach(exc, sizes.where(F.col("_k") <= group_limit), keys, "inner").drop("_k").groupBy(*keys).applyInPandas(fit, schema)
+    small = attach(exc, sizes.where(F.col("_k") <= group_limit), keys, "inner").drop("_k")
+    out = (spread(small, keys) if keys else small).groupBy(*keys).applyInPandas(fit, schema)
     large = sizes.where(F.col("_k") > group_limit)
     if large.isEmpty():
         return out

@@ -17,6 +17,7 @@ CLIP = 172800.0
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold zone-less UTC times
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -100,6 +100,16 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
     return df.withColumn("_s", one).select("*", "_s.*").drop("_s")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffle by key over all shuffle partitions before per-group Python work.
+
+    Adaptive execution merges partitions by bytes, and a few bytes may be a lot
+    of fitting; a numbered repartition is left as it is.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 # --------------------------------------------------------------------------- chunks
 
 
