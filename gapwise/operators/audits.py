@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import attach, first_of, join_on, last_seen, previous, quantiles, running_sum, scan, total, trailing, union_all
+from ..scale import attach, first_of, join_on, previous, quantiles, running_sum, scan, total, trailing, union_all
 
 
 def smooth_scores(

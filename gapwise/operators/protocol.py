@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import last_seen, previous, running_max, running_sum, scan
+from ..scale import last_seen, running_max, running_sum, scan
 
 # fixed values: default events, categories and allowed transitions
 LOGIN = ["login"]
