@@ -21,7 +21,8 @@ NEVER_EMPTY = ["uid", "session_id", "method", "path", "ip", "cookie"]
 CATEGORIES = ["AUTH", "READ", "UPDATE"]
 METHODS = ["GET", "POST", "PUT", "DELETE"]
 NULL_SESSION = ["", "nan", "None", "<NA>"]
-FORBIDDEN = ["jwt", "authorization", "cookies", "token", "id_token", "access_token", "refresh_token", "set-cookie"]
+REFUSED = ["jwt", "authorization", "cookies", "Cookie"]  # exact names; ingest stops
+FORBIDDEN = ["authorization", "jwt", "token", "id_token", "access_token", "refresh_token", "set-cookie"]  # findings of the audit, any case
 SECRET_KEY = r"(?i)^(authorization|cookie|cookies|set-cookie|jwt|token|id_token|access_token|refresh_token)$"
 SECRET_VALUE = (
     r"(?i)(bearer\s+[a-z0-9._~-]+\.[a-z0-9._~-]+\.[a-z0-9._~-]+|eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,})"
@@ -74,15 +75,17 @@ def reject_counts(checked: DataFrame) -> DataFrame:
 
 
 def column_findings(df: DataFrame, allowed: Sequence[str] = LOG_COLUMNS) -> DataFrame:
-    """P5: forbidden, unexpected and missing columns of a table."""
-    rows = [(c, "forbidden") for c in df.columns if c.lower() in FORBIDDEN]
-    rows += [(c, "unexpected") for c in df.columns if c not in allowed and c.lower() not in FORBIDDEN]
+    """P5: forbidden, unexpected and missing columns of a table; refused names are forbidden too."""
+    bad = [c for c in df.columns if c.lower() in FORBIDDEN or c in REFUSED]
+    rows = [(c, "forbidden") for c in bad]
+    rows += [(c, "unexpected") for c in df.columns if c not in allowed and c not in bad]
     rows += [(c, "missing") for c in allowed if c not in df.columns]
     return df.sparkSession.createDataFrame(rows, "column_name string, finding string")
 
 
 def refuse_forbidden(df: DataFrame) -> DataFrame:
-    bad = [c for c in df.columns if c.lower() in FORBIDDEN]
+    """P5: the guard of ingest; a ``token`` column is legal here."""
+    bad = [c for c in df.columns if c in REFUSED]
     if bad:
         raise ValueError(f"forbidden columns: {bad}")
     return df
@@ -154,10 +157,6 @@ def row_findings(df: DataFrame, index: str = "row_index") -> DataFrame:
     return df.select(index, F.explode(found).alias("finding"))
 
 
-def _is_secret(key: Column, value: Column) -> Column:
-    return F.coalesce(key.rlike(SECRET_KEY), F.lit(False)) | F.coalesce(value.rlike(SECRET_VALUE), F.lit(False))
-
-
 # any key at any depth, or any text value
 _ANY_SECRET_KEY = r'(?i)"(authorization|cookie|cookies|set-cookie|jwt|token|id_token|access_token|refresh_token)"\s*:'
 
@@ -168,10 +167,41 @@ def metadata_is_sensitive(json_text: Column) -> Column:
     return F.coalesce(valid & (json_text.rlike(_ANY_SECRET_KEY) | json_text.rlike(SECRET_VALUE)), F.lit(False))
 
 
-def redact_metadata(json_text: Column) -> Column:
-    """Top-level entries that name or contain credentials are removed."""
-    entries = F.from_json(json_text, "map<string,string>")
-    return F.to_json(F.map_filter(entries, lambda k, v: ~_is_secret(k, v)))
+def _clean(v: Column, depth: int) -> Column:
+    """A JSON value without credentials, NULL if nothing is left of it."""
+    if depth == 0:  # deeper than any level: all or nothing
+        text = F.to_json(v)
+        return F.when(~(text.rlike(_ANY_SECRET_KEY) | text.rlike(SECRET_VALUE)), v)
+    # objects and arrays both as entries, an array's without a key, so that the expression has one branch per level
+    named = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    listed = F.transform(
+        F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))
+    )
+    legal = F.filter(F.coalesce(named, listed), lambda e: ~F.coalesce(e["key"].rlike(SECRET_KEY), F.lit(False)))
+    clean = F.transform(legal, lambda e: F.struct(e["key"].alias("key"), _clean(e["value"], depth - 1).alias("value")))
+    kept = F.filter(clean, lambda e: e["value"].isNotNull())
+    built = F.transform(
+        F.array(kept),  # one element: what is kept is computed once
+        lambda all_: F.when(F.size(all_) == 0, F.lit(None))
+        .when(all_[0]["key"].isNotNull(), F.to_variant_object(F.map_from_entries(all_)))
+        .otherwise(F.to_variant_object(F.transform(all_, lambda e: e["value"]))),
+    )
+    single = ~((F.schema_of_variant(v) == "STRING") & F.try_variant_get(v, "$", "string").rlike(SECRET_VALUE))
+    return F.when(named.isNotNull() | listed.isNotNull(), F.element_at(built, 1)).when(single, v)
+
+
+def redact_metadata(json_text: Column, depth: int = 6) -> Column:
+    """Credentials removed at every level, by key and by value; what becomes empty goes too.
+
+    Numbers, truth values and nested values keep their types.  Arrays and single
+    values at the top become ``{"value": ...}``, an empty result ``{}``, text that is
+    not JSON is NULL.  Below ``depth`` levels a value with a credential goes whole.
+    """
+    parsed = F.try_parse_json(json_text)
+    kind = F.schema_of_variant(parsed)
+    clean = _clean(parsed, depth)
+    whole = F.when(F.startswith(kind, F.lit("OBJECT")), F.to_json(clean)).when(kind != "VOID", F.concat(F.lit('{"value":'), F.to_json(clean), F.lit("}")))
+    return F.when(parsed.isNotNull(), F.coalesce(whole, F.lit("{}")))
 
 
 def _claims(part: Column) -> Column:

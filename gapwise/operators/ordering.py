@@ -12,16 +12,23 @@ from ..scale import previous, scan
 EPSILON_MIN = 1e-6
 
 
-def strict_order(df: DataFrame, user: str = "uid", epoch: str = "epoch_s", index: str = "row_index") -> DataFrame:
+def strict_order(
+    df: DataFrame, user: str = "uid", epoch: str = "epoch_s", index: str = "row_index", arrival: str | None = None
+) -> DataFrame:
     """Keep, per user and millisecond, rows told apart by ``index``.
 
     Rows without an index at an instant that already has a row are dropped, and
-    equal indexes count once.  The group of a window is one user millisecond.
+    equal indexes count once: the first by ``arrival`` (a column that numbers rows
+    as they came) stays.  Without ``arrival`` the earliest stays and, of rows equal
+    in that too, the one with the least digest of all its columns, so a rerun keeps
+    the same row.  The group of a window is one user millisecond.
     """
     second = F.when(F.col(epoch) < 0, F.ceil(epoch)).otherwise(F.floor(epoch)).cast("long")
     part = F.col(epoch) - second
     milli = F.when(part > 0, F.floor(part * 1000 + 0.5)).otherwise(0).cast("int")
-    w = Window.partitionBy(user, "_sec", "_ms").orderBy(F.col(index).asc_nulls_last(), F.col(epoch))
+    digest = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    ties = [F.col(arrival)] if arrival else [F.col(epoch), digest]
+    w = Window.partitionBy(user, "_sec", "_ms").orderBy(F.col(index).asc_nulls_last(), *ties)
     return (
         df.where(F.col(epoch).isNotNull())
         .withColumns({"_sec": second, "_ms": milli})

@@ -29,7 +29,7 @@ def protocol_violations(
     df: DataFrame,
     session: str = "session_id",
     user: str = "user_id",
-    token: str = "token",
+    token: str = "uid",
     epoch: str = "epoch_s",
     index: str = "row_index",
     allowed: Sequence[tuple[str, str]] = ALLOWED,

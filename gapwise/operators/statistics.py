@@ -40,12 +40,17 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def merge_moments(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combine partial (n, mean, m2, lowest, highest) rows."""
+    """Combine partial (n, mean, m2, lowest, highest) rows.
+
+    Deviations of the part means are taken from the combined mean, found first:
+    a difference of large squares would cancel.  Parts are few: one row per task or file.
+    """
     n = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("mean")) / n
-    raw = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean"))
-    return parts.groupBy(*keys).agg(
-        n.alias("n"), mean.alias("mean"), (raw - n * mean * mean).alias("m2"),
+    means = parts.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / n).alias("_mean"))
+    off = F.col("mean") - F.col("_mean")
+    return attach(parts, means, keys, "inner").groupBy(*keys).agg(
+        n.alias("n"), F.first("_mean").alias("mean"),
+        (F.sum("m2") + F.sum(F.col("n") * off * off)).alias("m2"),
         F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
     )
 

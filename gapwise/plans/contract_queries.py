@@ -102,7 +102,7 @@ def _(spark, sf):
     return manifest.join(ids, "source").select("source", "row_count", "id_sum")
 
 
-@query("s10_dataset_fingerprint", """WITH t AS (SELECT sha256(coalesce(CAST(event_id AS VARCHAR),'') || '|' || coalesce(event_type,'') || '|' || coalesce(CAST(user_id AS VARCHAR),'')) AS h FROM events)
+@query("s10_dataset_fingerprint", """WITH t AS (SELECT sha256(coalesce(length(CAST(event_id AS VARCHAR)) || ':' || CAST(event_id AS VARCHAR),'-') || coalesce(length(event_type) || ':' || event_type,'-') || coalesce(length(CAST(user_id AS VARCHAR)) || ':' || CAST(user_id AS VARCHAR),'-')) AS h FROM events)
   SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(h,1,8) AS BIGINT)) AS BIGINT) AS part1, CAST(sum(CAST('0x' || substr(h,9,8) AS BIGINT)) AS BIGINT) AS part2 FROM t""")
 def _(spark, sf):
     return dataset_fingerprint(table(spark, sf, "events").select("user_id", "event_type", "event_id"))
@@ -243,17 +243,23 @@ def _(spark, sf):
     return C.row_findings(raw_log(spark, sf))
 
 
-@query("p9_metadata_redact", f"""WITH {EV} SELECT row_index, (k % 5 IN (0,1) OR k % 5 = 3) AS sensitive,
-   CASE k % 5 WHEN 0 THEN '{{"k":"' || CAST(k AS VARCHAR) || '"}}' WHEN 1 THEN '{{"k":"' || CAST(k AS VARCHAR) || '"}}' WHEN 3 THEN '{{}}' ELSE '{{"k":"' || CAST(k AS VARCHAR) || '"}}' END AS redacted FROM ev""")
+@query("p9_metadata_redact", f"""WITH {EV} SELECT row_index, (k % 5 <> 2) AS sensitive,
+   CASE k % 5 WHEN 3 THEN '{{}}' WHEN 4 THEN '{{"a":{{"deep":[2,{{"ok":true}}],"n":' || CAST(k AS VARCHAR) || '}},"k":"' || CAST(k AS VARCHAR) || '"}}'
+   ELSE '{{"k":"' || CAST(k AS VARCHAR) || '"}}' END AS redacted FROM ev""")
 def _(spark, sf):
     e = events(spark, sf)
     k = F.col("k").cast("string")
     plain = F.concat(F.lit('{"k":"'), k, F.lit('"'))
     form = F.col("k") % 5
+    nested = F.concat(
+        plain, F.lit(',"a":{"Token":{"x":1},"n":'), k,
+        F.lit(',"deep":[{"jwt":"x"},2,"eyJabcdefghijk.abcdefghijk",{"ok":true,"cookie":null}]}}'),
+    )
     meta = (
         F.when(form == 0, F.concat(plain, F.lit(',"Authorization":"x"}')))
         .when(form == 1, F.concat(plain, F.lit(',"note":"Bearer aa.bb.cc"}')))
         .when(form == 3, F.concat(F.lit('{"jwt":"'), k, F.lit('"}')))
+        .when(form == 4, nested)
         .otherwise(F.concat(plain, F.lit("}")))
     )
     return e.select("row_index", C.metadata_is_sensitive(meta).alias("sensitive"), C.redact_metadata(meta).alias("redacted"))

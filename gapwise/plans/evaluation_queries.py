@@ -355,11 +355,10 @@ def _(spark, sf):
     )
 
 
-@query("u2_overlap", f"WITH {EV} SELECT uid FROM ev WHERE event='purchase' AND value>90 INTERSECT SELECT uid FROM ev WHERE event='error' AND value>90")
+@query("u2_overlap", f"WITH {EV} SELECT uid FROM ev WHERE event='purchase' INTERSECT SELECT uid FROM ev WHERE event='error'")
 def _(spark, sf):
     e = events(spark, sf)
-    big = e.where("value > 90")
-    return J.overlap(big.where("event = 'purchase'"), big.where("event = 'error'"), "uid")
+    return J.overlap(e.where("event = 'purchase'"), e.where("event = 'error'"), "uid")
 
 
 @query("u3_distinct", f"WITH {EV} SELECT DISTINCT uid, op_category FROM ev")

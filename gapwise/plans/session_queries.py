@@ -322,4 +322,4 @@ def _(spark, sf):
         F.concat(F.lit("user"), (k % 50 == 0).cast("int").cast("string")).alias("user_id"),
         F.when(k % 9 != 0, F.concat(F.lit("tok"), (k % 60 == 0).cast("int").cast("string"))).alias("token"),
     )
-    return P.protocol_violations(rows).select("row_index", F.explode("violations").alias("reason"))
+    return P.protocol_violations(rows, token="token").select("row_index", F.explode("violations").alias("reason"))

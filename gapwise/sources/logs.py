@@ -42,16 +42,17 @@ def read_log_csv(
 def number_rows(df: DataFrame, name: str = "row_index") -> DataFrame:
     """0-based position of each row in the input: file name, block, place in the block.
 
-    Tasks read blocks in any order, so a first pass counts the rows of each
-    block; that table has one row per file split.
+    Tasks read blocks in any order, and two readings may be split differently, so
+    the rows are read once, with a provisional number, and written; the numbers are
+    made from that copy.  Row counts per block are one row per file split.
     """
     where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    rows = df.select("*", *where).withColumn("_id", F.monotonically_increasing_id())
-    blocks = durable(rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    rows = durable(df.select("*", *where).withColumn("_id", F.monotonically_increasing_id()))
+    # the provisional numbers of a block are consecutive: one task reads it
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select("_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    out = rows.join(F.broadcast(starts), ["_file", "_block"])
-    return out.withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).select(*df.columns, name)
+    starts = durable(blocks.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")))
+    return rows.join(starts, ["_file", "_block"]).withColumn(name, F.col("_shift") + F.col("_id")).select(*df.columns, name)
 
 
 def read_events(

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 
 def _row_hash(columns: Sequence[str]) -> Column:
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("|", *text), 256)
+    """Digest of a row: each value with its length, NULL unlike any text."""
+    text = [F.col(c).cast("string") for c in sorted(columns)]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in text]), 256)
 
 
 def _sum_of(hash_col: str, start: int) -> Column:
-    return F.sum(F.conv(F.substring(hash_col, start, 8), 16, 10).cast("long"))
+    """Sum of 32-bit parts, modulo 2^63, so that no number of rows overflows it."""
+    part = F.conv(F.substring(hash_col, start, 8), 16, 10).cast("decimal(38,0)")
+    return (F.sum(part) % F.lit(str(2**63)).cast("decimal(38,0)")).cast("long")
 
 
 def source_manifest(df: DataFrame, source: str, columns: Sequence[str]) -> DataFrame:
