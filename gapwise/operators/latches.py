@@ -90,8 +90,8 @@ def clearing_latch(
     latched = 2 ** (n - 1)
     keys, order = list(keys), list(order)
     df = split(df, keys[:1], order[0])
-    chunk = chunk_column(order[0])
-    cut = is_cut(df, order[0])
+    chunk = chunk_column(keys[:1], order[0])
+    cut = is_cut(df, keys[:1], order[0])
     part = keys + ([chunk] if cut else [])
     df = df.withColumns(
         {

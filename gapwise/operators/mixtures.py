@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import attach, durable, is_small, ranked, spread
+from ..scale import attach, durable, ranked, spread
 
 # fixed values of the test
 LEAST_ROWS, ROUNDS, TOLERANCE = 6, 128, 1e-6
@@ -160,8 +160,6 @@ def bimodality(wv: DataFrame, keys: Sequence[str], group_limit: int = GROUP_LIMI
         value = _test_group(pdf["l"].to_numpy(float), pdf["n"].to_numpy(float))
         return pd.DataFrame([[*group, value]], columns=[*keys, "bic_difference"])
 
-    if is_small(wv):
-        return (spread(wv, keys) if keys else wv).groupBy(*keys).applyInPandas(test, schema)
     sizes = durable(wv.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")))
     small = attach(wv, sizes.where(F.col("_k") <= group_limit), keys, "inner").drop("_k")
     out = (spread(small, keys) if keys else small).groupBy(*keys).applyInPandas(test, schema)

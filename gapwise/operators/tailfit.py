@@ -16,7 +16,6 @@ from ..scale import (
     chunk_column,
     durable,
     is_cut,
-    is_small,
     join_on,
     quantiles,
     ranked,
@@ -70,8 +69,8 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
     """
     keys = list(keys)
     df = split(df, keys[:1], index)
-    chunk = chunk_column(index)
-    cut = is_cut(df, index)
+    chunk = chunk_column(keys[:1], index)
+    cut = is_cut(df, keys[:1], index)
     part = keys + ([chunk] if cut else [])
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
@@ -276,8 +275,6 @@ def fit_tails(exc: DataFrame, keys: Sequence[str], xi_eps: float = 1e-6, bounds=
         got = fit_excesses(pdf["y"].to_numpy(float), pdf["n"].to_numpy(float), xi_eps, bounds)
         return pd.DataFrame([[*group, *got]])
 
-    if is_small(exc):
-        return (spread(exc, keys) if keys else exc).groupBy(*keys).applyInPandas(fit, schema)
     sizes = durable(exc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")))
     small = attach(exc, sizes.where(F.col("_k") <= group_limit), keys, "inner").drop("_k")
     out = (spread(small, keys) if keys else small).groupBy(*keys).applyInPandas(fit, schema)

@@ -15,8 +15,7 @@ window over the whole key, wherever the cuts fall.
 ``ranked`` and ``quantiles`` solve the second: equal values collapse to one
 weighted row, and ranks are running sums computed by ``scan``.
 
-Chunking is only planned when the tables read are not small, so small inputs
-keep the plain one-window plan.
+The plan depends on the rows of a key alone, never on the size of the input.
 """
 
 from __future__ import annotations
@@ -33,29 +32,13 @@ from pyspark.sql import functions as F
 #: settings and their defaults; override with ``spark.conf.set``
 SETTINGS = {
     "gapwise.hot.rows": 4_000_000,  # rows of one key that one task may hold
-    "gapwise.split.bytes": 64 * 1024 * 1024,  # tables (compressed) below this are never split
 }
-MARKS = 256  # most chunks one key is cut into
 
 
 def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(SETTINGS[name])))
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Size of the largest table ``df`` reads, from file listings; no job is run.
-
-    The optimizer multiplies both sides of a join, so its estimate for derived
-    tables says little; rows here come from one large table and small ones.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return max(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    return source_bytes(df) < setting(df.sparkSession, "gapwise.split.bytes")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -113,49 +96,42 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------- chunks
 
 
-def chunk_column(order: str) -> str:
-    return f"_chunk_{order}"
+def chunk_column(keys: Sequence[str], order: str) -> str:
+    """Name of the chunk column; another key or order has another one."""
+    return "_".join(["_chunk", *keys, "by", order])
 
 
-def is_cut(df: DataFrame, order: str) -> bool:
+def is_cut(df: DataFrame, keys: Sequence[str], order: str) -> bool:
     """Whether keys of ``df`` are spread over chunks of ``order``."""
-    name = chunk_column(order)
+    name = chunk_column(keys, order)
     return name in df.columns and not df.schema[name].metadata.get("whole", False)
 
 
 def split(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Add ``_chunk_<order>`` (-1 = key not cut) unless ``df`` is small.
+    """Add the chunk column: -1 for rows of keys that are not cut.
 
-    The cuts are approximate quantiles of ``order`` inside each hot key.  They
-    are computed once and kept as a small table: one row per key above
-    ``gapwise.hot.rows`` and about one mark per ``gapwise.hot.rows`` rows, i.e. at
-    most rows / hot.rows of each, which bounds the broadcast.  Without hot keys
-    the column is only a note that the check was done.
+    Rows of keys above ``gapwise.hot.rows`` are range-partitioned once by key and
+    ``order`` into tasks of about that many rows, and that copy is kept; the number
+    of the task is the chunk.  There is no limit on the chunks of a key.  Hot keys
+    are at most rows / hot.rows, which bounds their broadcast.  Without hot keys
+    the column is only a note that the check was done for these keys.
     """
-    name = chunk_column(order)
-    if name in df.columns or is_small(df):
+    keys = list(keys)
+    name = chunk_column(keys, order)
+    if name in df.columns:
         return df
     hot_rows = setting(df.sparkSession, "gapwise.hot.rows")
-    keys = list(keys)
-    probs = [i / MARKS for i in range(1, MARKS)]
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    slim = df.select(*keys, F.col(order).cast("double").alias("_o"))
-    hot = join_on(slim, F.broadcast(big), keys, "inner") if keys else slim
-    count = F.first("_n") if keys else F.count(F.lit(1))
-    marks = hot.groupBy(*keys).agg(
-        F.percentile_approx("_o", probs, 10_000).alias("_m"), count.alias("_n")
-    )
-    step = F.greatest(F.lit(1), F.floor(F.lit(float(MARKS)) * hot_rows / F.col("_n"))).cast("int")
-    thin = F.filter("_m", lambda m, i: (i + 1) % step == 0)
-    marks = durable(marks.where(F.col("_n") > hot_rows).select(*keys, F.array_distinct(thin).alias("_marks")))
-    if marks.isEmpty():
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = sizes.agg(F.sum("_n")).first()[0]
+    if not hot:
         return df.withColumn(name, F.lit(-1).alias(name, metadata={"whole": True}))
+    heavy, light = df, None
     if keys:
-        out = join_on(df, F.broadcast(marks), keys)
-    else:
-        out = df.withColumn("_marks", marks.scalar())
-    here = F.size(F.filter("_marks", lambda m: m < F.col(order).cast("double")))
-    return out.withColumn(name, F.when(F.col("_marks").isNull(), -1).otherwise(here)).drop("_marks")
+        marked = F.broadcast(durable(sizes.select(*keys)))
+        heavy, light = join_on(df, marked, keys, "left_semi"), join_on(df, marked, keys, "left_anti")
+    parts = -(-hot // hot_rows)
+    heavy = durable(heavy.repartitionByRange(parts, *keys, order).withColumn(name, F.spark_partition_id()))
+    return heavy if light is None else light.withColumn(name, F.lit(-1)).unionByName(heavy)
 
 
 # --------------------------------------------------------------------------- scan
@@ -292,8 +268,8 @@ def scan(
     """
     keys, order = list(keys), list(order)
     df = split(df, keys[:1], order[0])
-    chunk = chunk_column(order[0])
-    cut = is_cut(df, order[0])
+    chunk = chunk_column(keys[:1], order[0])
+    cut = is_cut(df, keys[:1], order[0])
     part = keys + ([chunk] if cut else [])
     by = [F.desc(c) if reverse else F.asc(c) for c in order]
     w = Window.partitionBy(*part).orderBy(*by)
@@ -356,12 +332,9 @@ def weighted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def ranked(wv: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
     """Add ``upto`` (rows with value <= this) and ``total`` to weighted values.
 
-    A table derived from large input is written once, as checks and cuts read it
-    several times; its true size may well be small.
+    They are written once, as checks and cuts read them several times.
     """
-    if not is_small(wv):
-        wv = durable(wv)
-    return scan(wv, keys, [value], {"upto": running_sum(weight), "total": total(weight)})
+    return scan(durable(wv), keys, [value], {"upto": running_sum(weight), "total": total(weight)})
 
 
 def _at_rank(value: str, rank: Column) -> Column:
@@ -384,11 +357,6 @@ def quantiles(
     else the next value.
     """
     keys = list(keys)
-    if rule == "r7" and is_small(df):
-        counted = [F.count(value).alias(size)] if size else []
-        return df.groupBy(*keys).agg(
-            *counted, *[F.percentile(value, F.lit(float(p))).alias(n) for n, p in levels.items()]
-        )
     table = ranked(weighted(df, keys, value), keys, value)
     return table_quantiles(table, keys, value, levels, rule, size)
 

@@ -85,7 +85,6 @@ if __name__ == "__main__":
     spark = session()
     if wanted and wanted[0] == "--split":
         wanted = wanted[1:]
-        spark.conf.set("gapwise.split.bytes", "0")
         spark.conf.set("gapwise.hot.rows", "25")
     con = duck(sf)
     qs, sqls = entry.queries(), entry.oracle_sql()

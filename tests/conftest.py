@@ -22,10 +22,8 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def cut(spark):
     """Force chunking: every key with more than a few rows is cut."""
-    spark.conf.set("gapwise.split.bytes", "0")
     spark.conf.set("gapwise.hot.rows", "25")
     yield spark
-    spark.conf.unset("gapwise.split.bytes")
     spark.conf.unset("gapwise.hot.rows")
 
 

@@ -42,20 +42,39 @@ def steps():
 @pytest.mark.parametrize("keys", [["uid"], ["event", "uid"], []])
 def test_scan(spark, log, keys, reverse):
     plain = rows_of(S.scan(log, keys, ["epoch_s", "row_index"], steps(), reverse))
-    spark.conf.set("gapwise.split.bytes", "0")
     spark.conf.set("gapwise.hot.rows", "25")
     try:
         out = S.scan(log, keys, ["epoch_s", "row_index"], steps(), reverse)
-        assert out.select(S.chunk_column("epoch_s")).distinct().count() > 5
+        assert out.select(S.chunk_column(keys[:1], "epoch_s")).distinct().count() > 5
         assert rows_of(out) == plain
     finally:
-        spark.conf.unset("gapwise.split.bytes")
         spark.conf.unset("gapwise.hot.rows")
 
 
+def test_scans_by_different_keys_on_one_order(cut, log):
+    """Chunks made for one key are not taken for those of another."""
+    pdf = log.select("uid", "event", "epoch_s", "row_index").toPandas().sort_values(["epoch_s", "row_index"])
+    order, frame = ["epoch_s", "row_index"], log
+    for name, keys in {"a": ["uid"], "b": ["event"], "c": [], "d": ["uid", "event"]}.items():
+        frame = S.scan(frame, keys, order, {name: S.running_sum(F.lit(1))})
+        pdf[name] = (pdf.groupby(keys) if keys else pdf).cumcount() + 1 if keys else range(1, len(pdf) + 1)
+    got = frame.select("row_index", "a", "b", "c", "d").toPandas().sort_values("row_index").to_numpy()
+    assert (got == pdf.sort_values("row_index")[["row_index", "a", "b", "c", "d"]].to_numpy()).all()
+
+
+def test_chunks_stay_small_however_large_the_key(spark):
+    spark.conf.set("gapwise.hot.rows", "20")
+    try:
+        rows = spark.range(40_000).select(F.lit("k").alias("k"), F.xxhash64("id").alias("t"))
+        sizes = S.split(rows, ["k"], "t").groupBy(S.chunk_column(["k"], "t")).count().select("count").toPandas()["count"]
+    finally:
+        spark.conf.unset("gapwise.hot.rows")
+    assert len(sizes) > 1000 and sizes.max() < 400
+
+
 def test_no_task_holds_the_hot_key(cut, log):
     out = S.split(log, ["uid"], "epoch_s")
-    per = out.groupBy("uid", S.chunk_column("epoch_s")).count()
+    per = out.groupBy("uid", S.chunk_column(["uid"], "epoch_s")).count()
     hot = out.where("uid = 'hot'").count()
     assert hot > 300 and per.agg(F.max("count")).first()[0] < hot / 4
 
@@ -63,7 +82,7 @@ def test_no_task_holds_the_hot_key(cut, log):
 def test_keys_without_hot_rows_are_left_alone(cut, log):
     cut.conf.set("gapwise.hot.rows", "100000")
     out = S.split(log, ["uid"], "epoch_s")
-    assert not S.is_cut(out, "epoch_s")
+    assert not S.is_cut(out, ["uid"], "epoch_s")
 
 
 @pytest.mark.parametrize("rule", ["r7", "simple"])
