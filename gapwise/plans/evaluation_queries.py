@@ -117,12 +117,16 @@ def _(spark, sf):
     return reestimate(rows, first, ["op_category"], "log_dt", every=max(size, 50), min_tail=20)
 
 
-@query("c7_decluster")
+@query("c7_decluster", f"""WITH RECURSIVE {EV}, b AS (SELECT op_category, quantile_cont(value,0.6) AS u FROM ev GROUP BY 1), x AS (SELECT op_category, row_index, value FROM ev JOIN b USING (op_category) WHERE value>u),
+  k AS (SELECT op_category, min(row_index) AS row_index FROM x GROUP BY 1 UNION ALL SELECT k.op_category, min(x.row_index) FROM k JOIN x ON x.op_category=k.op_category AND x.row_index>k.row_index+25 GROUP BY k.op_category)
+  SELECT op_category, row_index, value FROM k JOIN x USING (op_category, row_index)""")
 def _(spark, sf):
     from ..operators.tailfit import decluster
+    from ..scale import quantiles
 
-    e = events(spark, sf).where("value > 60").select("op_category", "row_index", "value")
-    return decluster(e, ["op_category"], "row_index", 25)
+    e = events(spark, sf).select("op_category", "row_index", "value")
+    above = attach(e, quantiles(e, ["op_category"], "value", {"u": 0.6}), ["op_category"], "inner").where("value > u").drop("u")
+    return decluster(above, ["op_category"], "row_index", 25)
 
 
 @query("c9_apply_thresholds", f"""WITH {GAP}, t AS (SELECT uid, quantile_cont(delta_seconds,0.95) hi, quantile_cont(delta_seconds,0.05) lo FROM gap WHERE CAST(uid AS INTEGER)%3<>0 GROUP BY uid), g AS (SELECT quantile_cont(delta_seconds,0.95) hi, quantile_cont(delta_seconds,0.05) lo FROM gap)

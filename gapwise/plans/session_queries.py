@@ -249,7 +249,11 @@ def _(spark, sf):
     return out.select("row_index", "votes", "alarm")
 
 
-@query("l4_clearing_latch")
+# states 0-15: the last four votes as bits; 16: latched
+@query("l4_clearing_latch", f"""WITH RECURSIVE {EV}, t AS (SELECT row_index, uid, row_number() OVER (PARTITION BY uid ORDER BY epoch_s, row_index) AS no, CAST(value/40>1 AS INTEGER) AS e, value/40<=1.0/1.1 AS rel FROM ev),
+  w AS (SELECT uid, CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS row_index, 0 AS state FROM t GROUP BY uid
+    UNION ALL SELECT t.uid, t.no, t.row_index, CASE WHEN w.state=16 THEN CASE WHEN t.rel THEN 0 ELSE 16 END WHEN bit_count(w.state)+t.e>=3 THEN 16 ELSE (w.state*2+t.e)%16 END FROM w JOIN t ON t.uid=w.uid AND t.no=w.no+1)
+  SELECT row_index, state=16 AS alarm FROM w WHERE no>0""")
 def _(spark, sf):
     slim = _flags(spark, sf).select("uid", "epoch_s", "row_index", "s")
     return L.clearing_latch(slim, ["uid"], ["epoch_s", "row_index"], "s", 3, 5, 1.1).select("row_index", "alarm")

@@ -20,12 +20,21 @@ def _cols(*names):
     return [r6(n).alias(n) for n in names]
 
 
-@query("a7_running_stats")
+_TOWARD = "{now} + least(greatest(abs({now}), {scale}, 1e-12)*0.1, greatest(-greatest(abs({now}), {scale}, 1e-12)*0.1, {target}-{now}))"
+_KEPT = "least(w.med+3.0*greatest(w.smad,1e-12), greatest(w.med-3.0*greatest(w.smad,1e-12), t.x))"
+_NEW_MED = _TOWARD.format(now="w.med", scale="greatest(w.smad,1e-12)", target=f"(0.95*w.med+0.05*{_KEPT})")
+_NEW_SMAD = _TOWARD.format(now="greatest(w.smad,1e-12)", scale="greatest(w.smad,1e-12)", target=f"(0.95*greatest(w.smad,1e-12)+0.05*greatest(abs({_KEPT}-({_NEW_MED})),1e-12))")
+
+
+@query("a7_running_stats", f"""WITH RECURSIVE {GAP}, g AS (SELECT uid, epoch_s, row_index, ln(delta_seconds) AS x FROM gap WHERE delta_seconds IS NOT NULL), m AS (SELECT uid, quantile_cont(x,0.5) AS med FROM g GROUP BY uid),
+  s AS (SELECT uid, any_value(med) AS med, quantile_cont(abs(x-med),0.5)*1.4826 AS smad FROM g JOIN m USING (uid) GROUP BY uid), t AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY epoch_s, row_index) AS no FROM g),
+  w AS (SELECT uid, CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS row_index, med, smad FROM s UNION ALL SELECT t.uid, t.no, t.row_index, {_NEW_MED}, greatest(1e-12, {_NEW_SMAD}) FROM w JOIN t ON t.uid=w.uid AND t.no=w.no+1)
+  SELECT row_index, round(med,6)+0.0 AS x_med, round(smad,6)+0.0 AS x_smad FROM w WHERE no>0""")
 def _(spark, sf):
     g = gaps(spark, sf).where("delta_seconds IS NOT NULL").withColumn("x", F.ln("delta_seconds"))
     start = median_mad(g, ["uid"], "x").withColumn("x_smad", F.col("x_mad") * 1.4826)
     rows = g.select("uid", "epoch_s", "row_index", "x")
-    return N.running_stats(rows, start, ["uid"], ["epoch_s", "row_index"], "x")
+    return N.running_stats(rows, start, ["uid"], ["epoch_s", "row_index"], "x").select("row_index", *_cols("x_med", "x_smad"))
 
 
 @query("st1_stream_sessions", f"""WITH {_ARR} SELECT row_index, split_reason, CAST(ss AS BIGINT) AS session_sequence, si AS session_index,

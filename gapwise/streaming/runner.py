@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from ..scale import shared_folder
 
 
-def run_available(stream: DataFrame, mode: str = "append", form: str = "parquet", timeout: int = 600) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", form: str = "parquet") -> DataFrame:
     """Process all available input, keeping output and checkpoint in the shared folder."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/gapwise/stream-{uuid.uuid4().hex}"
@@ -22,8 +22,7 @@ def run_available(stream: DataFrame, mode: str = "append", form: str = "parquet"
         .start()
     )
     try:
-        if not query.awaitTermination(timeout):
-            raise TimeoutError("stream did not finish")
+        query.awaitTermination()
     finally:
         query.stop()
     return spark.read.schema(stream.schema).format(form).load(f"{base}/out")
