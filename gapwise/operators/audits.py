@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import attach, first_of, join_on, previous, quantiles, running_sum, scan, total, trailing, union_all
+from ..scale import attach, first_of, join_on, previous, quantiles, running_sum, scan, total, trailing
 
 
 def smooth_scores(
@@ -68,25 +68,29 @@ def rotation_audit(
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], unknown: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per column: size, moments, quantiles, missing and unknown values."""
+    """One row per column: size, moments, quantiles, missing and unknown values.
+
+    The columns are unpivoted once and aggregated by name; no rows give zeros and NULLs.
+    """
     unknown = dict(unknown or {})
-    parts = []
+    cells = []
     for c in columns:
-        v = F.col(c).try_cast("double")
-        one = df.select(v.alias("v"), F.coalesce(F.lower(F.col(unknown[c])) == "unknown", F.lit(False)).alias("u")
-                        if c in unknown else F.lit(False).alias("u"))
-        base = one.agg(
-            F.count("v").alias("n"),
-            F.avg("v").alias("mean"),
-            F.stddev_pop("v").alias("std"),
-            F.min("v").alias("lowest"),
-            F.max("v").alias("highest"),
-            F.count_if(F.col("v").isNull()).alias("missing"),
-            F.count_if("u").alias("unknown"),
-        )
-        q = quantiles(one.where("v IS NOT NULL"), [], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})
-        parts.append(attach(base, q, []).withColumn("column_name", F.lit(c)))
-    return union_all(parts)
+        seen = F.coalesce(F.lower(F.col(unknown[c])) == "unknown", F.lit(False)) if c in unknown else F.lit(False)
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.col(c).try_cast("double").alias("v"), seen.alias("u")))
+    long = df.select(F.inline(F.array(*cells)))
+    base = long.groupBy("column_name").agg(
+        F.count("v").alias("n"),
+        F.avg("v").alias("mean"),
+        F.stddev_pop("v").alias("std"),
+        F.min("v").alias("lowest"),
+        F.max("v").alias("highest"),
+        F.count_if(F.col("v").isNull()).alias("missing"),
+        F.count_if("u").alias("unknown"),
+    )
+    q = quantiles(long.where("v IS NOT NULL"), ["column_name"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    out = join_on(join_on(names, base, ["column_name"]), q, ["column_name"])
+    return out.fillna(0, ["n", "missing", "unknown"])
 
 
 def profile_change(before: DataFrame, after: DataFrame, tolerance: float = 1e-6) -> DataFrame:

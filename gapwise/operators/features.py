@@ -125,7 +125,8 @@ def robust_scores(
     Statistics come from (user, session), else user, else all rows; a level
     counts with ``min_samples`` values.  Hours without own values use the hour
     over all users, and then all hours.  All levels are computed in one pass and
-    written once, as the joins below read them several times.
+    written once; they meet in one table per (user, session, hour), to which the
+    rows are joined once.
     """
     x = "delta_clipped_seconds"
     keys = [user, session, "_hour"]
@@ -141,12 +142,14 @@ def robust_scores(
     logs |= {"hg": ["_hour"], "hu": [user, "_hour"], "hs": keys}
     parts = [tiers(base.where(F.col("_is_log") == is_log), keys, lv) for is_log, lv in ((False, plain), (True, logs))]
     stats = durable(median_mad(union_all(parts), ["level", *keys], "_v"))
-    g = attach(rows, _side_by_side(stats, [], ["g", "lg"]), [])
+    grid = rows.select(*keys).distinct()
+    g = attach(grid, _side_by_side(stats, [], ["g", "lg"]), [])
     g = join_on(g, F.broadcast(_side_by_side(stats, ["_hour"], ["hg"])), ["_hour"])  # 24 rows
     g = join_on(g, _side_by_side(stats, [user], ["u", "lu"]), [user])
     g = join_on(g, _side_by_side(stats, [user, session], ["s", "ls"]), [user, session])
     g = join_on(g, _side_by_side(stats, [user, "_hour"], ["hu"]), [user, "_hour"])
     g = join_on(g, _side_by_side(stats, keys, ["hs"]), keys)
+    g = join_on(rows, g, keys)
 
     def pick(what: str) -> Column:
         level = F.lit(None).cast("double")

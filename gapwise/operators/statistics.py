@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import attach, join_on, previous, quantiles, running_sum, scan, tiers
+from ..scale import attach, durable, join_on, previous, quantiles, running_sum, scan, tiers
 
 ALL, EVERYONE = "__all__", "__global__"
 
@@ -137,7 +137,7 @@ def quantile_tiers(
         "level", user, category, "n",
         F.col(by_p[upper]).alias("tau_hi"), F.col(by_p[lower]).alias("tau_lo"), cdf.alias("cdf"),
     )
-    return resolve_tiers(stats, user, category, min_samples, need_user=True)
+    return resolve_tiers(durable(stats), user, category, min_samples, need_user=True)  # read once per level
 
 
 def alarm_budget(thresholds: DataFrame, budget: float = 1e-2, weight: str = "count") -> DataFrame:

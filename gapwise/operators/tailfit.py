@@ -43,7 +43,8 @@ def calibration_rows(df: DataFrame, first: int | None = None, between: tuple[flo
     if between is not None:
         return df.where(F.col(epoch).between(*between))
     if first is not None:
-        return df.orderBy(index).limit(first)
+        ranked = scan(df, [], [index], {"_no": running_sum(F.lit(1))})
+        return ranked.where(F.col("_no") <= first).select(*df.columns)
     return df
 
 
