@@ -23,7 +23,7 @@ WINDOW = 5
 #: shortest repeat that counts, in words
 MIN_REPEAT = 5
 #: most a text may be covered by repeats, and the longest repeat allowed in words and as a part of the text
-MAX_COVERED, MAX_LONGEST, MAX_LONGEST_PART = 0.2, 50, 0.1
+MAX_COVERED, MAX_LONGEST, MAX_LONGEST_PART = 0.2, 50, 0.05
 #: fixed: characters that count as symbols
 SYMBOLS = "#*$%&|<>"
 #: words ranked together

@@ -80,8 +80,8 @@ def test_whole_table(spark, sf):
 
 
 def test_signature_estimates_similarity():
-    x = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
-    y = np.unique(np.concatenate([x[:800], x[:200] + np.uint64(1)]))
+    every = np.random.default_rng(1).integers(0, 2**64, 1200, dtype=np.uint64)
+    x, y = np.unique(every[:1000]), np.unique(every[200:])
     share = (near.signature(x) == near.signature(y)).mean()
     true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     assert abs(share - true) < 0.15
