@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.scale import durable
+from gapwise.scale import durable, shared_folder
 
 #: ASCII white space; a word is a longest run of other characters
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def durable_text(df: DataFrame) -> DataFrame:
+    """Like ``durable``, for tables that hold whole texts: written with the denser codec."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/gapwise/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,21 +58,35 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
     return each_shingle(text, lambda w: F.array_join(w, " "), "array<string>", size)
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of one text, empty if it has no word."""
+@lru_cache(maxsize=2**15)
+def _word_hash(word: bytes) -> int:
     import xxhash
 
-    data = b" ".join((text or "").encode().split())
-    if not data:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of one text, empty if it has no word.
+
+    A shingle's hash mixes the hashes of its words, each times an odd number for its place.
+    """
+    found = (text or "").encode().split()
+    if not found:
         return np.empty(0, np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-    starts = np.concatenate(([0], gaps + 1))
-    ends = np.concatenate((gaps, [len(data)]))
-    n = max(1, len(starts) - size + 1)
-    last = min(size, len(starts)) - 1
-    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-    pairs = zip(starts[:n].tolist(), ends[last : last + n].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(view[a:b]) for a, b in pairs), np.uint64, n))
+    each = np.fromiter(map(_word_hash, found), np.uint64, len(found))
+    size = min(size, len(found))
+    n = len(found) - size + 1
+    total = np.full(n, size, np.uint64)
+    for i in range(size):
+        total += each[i : i + n] * np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1)
+    return np.unique(mix64(total))
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Bijective mixing of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def in_pieces(batches: Iterator, rows: int = 512) -> Iterator:

@@ -31,16 +31,14 @@ BLOCK, BLOCK_SHINGLES = 256, 400_000
 
 
 def signature(x: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
-    """``trees * depth`` MinHash values (32 bits) of a set of 64-bit hashes."""
+    """``trees * depth`` MinHash values of a set of 64-bit hashes, from their upper halves times odd numbers modulo 2^32."""
     rng = np.random.Generator(np.random.PCG64(7))
-    mul = rng.integers(1, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
-    low = np.full(trees * depth, 2**64 - 1, np.uint64)
+    mul = rng.integers(0, 2**31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    low = np.full(trees * depth, 2**32 - 1, np.uint32)
+    upper = (x >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 1024):
-        part = x[at : at + 1024, None] * mul
-        part += add
-        np.minimum(low, part.min(0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+        np.minimum(low, (mul[:, None] * upper[None, at : at + 1024]).min(1), out=low)
+    return low
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,9 +81,18 @@ def _blocks(df: DataFrame, keys: list[str], count: str) -> DataFrame:
 
 def _grouped(batches: Iterator, by: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Runs of equal ``by`` values in sorted batches; a run is at most two blocks."""
+    import pyarrow as pa
+
     last, rows = None, []
     for b in in_pieces(batches, 256):
-        for r in b.to_pylist():
+        columns = []
+        for c in b.columns:
+            if pa.types.is_list(c.type):  # as arrays: Python numbers would take many times the memory
+                flat, ends = c.flatten().to_numpy(zero_copy_only=False), np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))
+                columns.append([x.copy() for x in np.split(flat, ends[:-1])])
+            else:
+                columns.append(c.to_pylist())
+        for r in (dict(zip(b.schema.names, values, strict=True)) for values in zip(*columns, strict=True)):
             key = tuple(r[c] for c in by)
             if rows and key != last:
                 yield last, rows

@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapwise.llm.common import mix64
 from gapwise.scale import durable
 
 BITS, HASHES = 10, 5
@@ -44,16 +45,10 @@ def domains(host: Column) -> Column:
     return F.when(host != "", above).otherwise(F.array().cast("array<string>"))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def slots(a: np.ndarray, b: np.ndarray, level: int, size: int, hashes: int = HASHES) -> np.ndarray:
     """Bit numbers (keys x hashes) of keys given by two 64-bit hashes."""
     salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    first, step = _mix(a + salt), _mix(b + salt) | np.uint64(1)
+    first, step = mix64(a + salt), mix64(b + salt) | np.uint64(1)
     return (first[:, None] + np.arange(hashes, dtype=np.uint64) * step[:, None]) % np.uint64(size)
 
 
