@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gapwise.llm.common import durable_text
 from gapwise.scale import durable, shared_folder
 
 VERSION = "WARC/1.1\r\n"
@@ -118,7 +119,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", VERSION).text(path)
     split = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
     # kept: offsets and text must come from one reading, another one might split the files elsewhere
-    split = durable(split.mapInArrow(_places, "file string, start long, text string, within long, size long"))
+    split = durable_text(split.mapInArrow(_places, "file string, start long, text string, within long, size long"))
     sums = split.groupBy("file", "start").agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("bytes").over(before), F.lit(0))
