@@ -2,10 +2,9 @@
 
 Every text becomes the set of its five-word shingles and a MinHash signature, which is cut into ``TREES`` labels of
 ``DEPTH`` values each.  A tree of the forest is the prefix trie of its labels: texts that share a prefix of length d
-meet in one node.  The join starts at full labels and shortens the prefix by one until the share of the similar pairs
-that met at least once reaches ``RECALL``: either estimated from the pairs found so far (each stands for 1 / p pairs,
-p being the chance that a pair of its similarity meets at this depth) or guaranteed even for pairs that are exactly at
-the threshold.  Signatures only propose groups; all pairs in a group are then compared by their whole shingle sets.
+meet in one node.  The join cuts the tries at the longest prefix at which every pair, even one that is exactly at the
+threshold, meets at least once with a chance of ``RECALL``.  This holds pair by pair: a share over the pairs found would be
+that of the largest groups.  Signatures only propose groups; all pairs in a group are then compared by their whole shingle sets.
 
 Scale: equal shingle sets are one vertex with a count, nodes and groups of any size are cut into blocks of ``BLOCK``
 vertices, and a task compares two blocks and returns links per vertex and a spanning forest, never the pairs.  The key
@@ -126,16 +125,15 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _propose(depth: int, trees: int = TREES, size: int = DEPTH, loose: float = LOOSE, similarity: float = SIMILARITY) -> Callable:
-    """Compare the signatures of the members of a node: links of a spanning forest, and what the pairs found stand for."""
+def _propose(loose: float = LOOSE) -> Callable:
+    """Compare the signatures of the members of a node: links of a spanning forest."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("found", pa.float64()), ("stands", pa.float64())])
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         links: list[tuple] = []
-        found = stands = 0.0
-        for (_, tree, p, q), rows in _grouped(batches, ["node", "tree", "p", "q"]):
+        for (_, _, p, q), rows in _grouped(batches, ["node", "tree", "p", "q"]):
             if len(rows) < 2:
                 continue
             signs = np.frombuffer(b"".join(r["sign"] for r in rows), np.uint32).reshape(len(rows), -1)
@@ -144,21 +142,11 @@ def _propose(depth: int, trees: int = TREES, size: int = DEPTH, loose: float = L
             forest = _Forest(len(rows))
             for i in left:
                 js = right[right > i] if p == q else right
-                share = (signs[i] == signs[js]).mean(1)
-                js, share = js[share >= loose], share[share >= loose]
-                forest.join(i, js)
-                near = share >= similarity
-                if near.any():
-                    mine = signs[i].reshape(trees, size)[:, :depth]
-                    same = (mine == signs[js[near]].reshape(-1, trees, size)[:, :, :depth]).all(2)
-                    first = same.argmax(1) == tree  # a pair counts in the first tree where it meets
-                    found += first.sum()
-                    stands += (1 / meets(share[near][first], depth, trees)).sum()
-            links += [(r["key"], rows[forest.find(i)]["key"], None, None) for i, r in enumerate(rows) if forest.find(i) != i]
+                forest.join(i, js[(signs[i] == signs[js]).mean(1) >= loose])
+            links += [(r["key"], rows[forest.find(i)]["key"]) for i, r in enumerate(rows) if forest.find(i) != i]
             if len(links) > 20_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in links], schema)
                 links = []
-        links.append((None, None, float(found), float(stands)))
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in links], schema)
 
     return run
@@ -173,20 +161,12 @@ def _nodes(depth: int) -> Column:
 
 def candidates(vertices: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY) -> DataFrame:
     """Links (``a``, ``b``) that connect every vertex with those it may be similar to."""
-    found = None
-    for depth in range(DEPTH, 0, -1):
-        nodes = vertices.select("key", F.inline(_nodes(depth)))
-        size = nodes.groupBy("node", "tree").agg(F.count("*").alias("size"))
-        met = nodes.join(size.where("size > 1"), ["node", "tree"]).withColumn("cuts", F.ceil(F.col("size") / BLOCK))
-        met = _blocks(met.drop("size").join(vertices.select("key", "sign"), "key"), ["node", "tree"], "cuts")
-        new = durable(met.select("node", "tree", "p", "q", "block", "key", "sign").mapInArrow(_propose(depth), "a binary, b binary, found double, stands double"))
-        links = new.where("a IS NOT NULL").select("a", "b")
-        found = links if found is None else found.union(links)
-        pairs = new.agg(F.sum("found").alias("found"), F.sum("stands").alias("stands")).first()
-        reached = 1.0 if not pairs["stands"] else pairs["found"] / pairs["stands"]
-        if reached >= recall or meets(similarity, depth) >= recall:
-            return found.distinct()
-    return found.distinct()
+    depth = next((d for d in range(DEPTH, 0, -1) if meets(similarity, d) >= recall), 1)
+    nodes = vertices.select("key", F.inline(_nodes(depth)))
+    size = nodes.groupBy("node", "tree").agg(F.count("*").alias("size"))
+    met = nodes.join(size.where("size > 1"), ["node", "tree"]).withColumn("cuts", F.ceil(F.col("size") / BLOCK))
+    met = _blocks(met.drop("size").join(vertices.select("key", "sign"), "key"), ["node", "tree"], "cuts")
+    return durable(met.select("node", "tree", "p", "q", "block", "key", "sign").mapInArrow(_propose(), "a binary, b binary")).distinct()
 
 
 def _verify(similarity: float) -> Callable:

@@ -88,6 +88,25 @@ def test_signature_estimates_similarity():
     assert near.meets(0.8, 5) > 0.999 > near.meets(0.8, 8)
 
 
+@pytest.mark.parametrize("copies", [0, 400])
+def test_large_group_hides_no_pair(spark, copies):
+    """Pairs that meet only at the guaranteed depth are proposed, with and without a group of copies that meets at once."""
+    rng = np.random.default_rng(3)
+    label = lambda *n: rng.integers(0, 2**32, (*n, near.TREES, near.DEPTH), dtype=np.uint32)
+    signs, (one,) = [], label(1)
+    for _ in range(copies):
+        signs.append(one.copy())
+        signs[-1][:, 7] = label()[:, 7] * (rng.random(near.TREES) < 0.3) + one[:, 7]
+    for x in label(20):
+        y = x.copy()
+        y[:, 5] += np.uint32(1)
+        signs += [x, y]
+    rows = [(i.to_bytes(4, "big"), x.tobytes()) for i, x in enumerate(signs)]
+    got = near.candidates(spark.createDataFrame([(bytearray(k), bytearray(x)) for k, x in rows], "key binary, sign binary")).collect()
+    met = {frozenset(int.from_bytes(r[c], "big") for c in "ab") for r in got}
+    assert all(frozenset((i, i + 1)) in met for i in range(copies, len(rows), 2))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
