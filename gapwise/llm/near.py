@@ -191,9 +191,8 @@ def _verify(similarity: float) -> Callable:
             texts, docs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
             forest, cols = _Forest(len(rows)), np.array(right, np.int64)
             for i in left:
-                at = np.searchsorted(values, sets[i])
-                at = at[at < len(values)]
-                at = at[np.isin(values[at], sets[i], assume_unique=True)]
+                at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+                at = at[values[at] == sets[i]]
                 mark[at] = True
                 shared = np.add.reduceat(mark[flat].astype(np.int64), starts)
                 mark[at] = False

@@ -71,6 +71,19 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert got == {d: (rows[root[i]][0], links[i]) for i, (d, _) in enumerate(rows)}
 
 
+def test_two_blocks_of_long_texts():
+    """Between two blocks a pair just below the threshold has no link, one just above it has."""
+    import pyarrow as pa
+
+    every = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 25_000, dtype=np.int64)
+    left, below, above = every[:20_000], every[20_000 - 17_775 : 40_000 - 17_775], every[20_000 - 17_780 : 40_000 - 17_780]
+    for right, links in ((below, 0), (above, 1)):
+        rows = [{"root": b"r", "p": 0, "q": 1, "block": k, "key": b"%d" % k, "copies": 1, "shingles": np.sort(x).tolist()} for k, x in enumerate((left, right))]
+        schema = pa.schema([("root", pa.binary()), ("p", pa.int64()), ("q", pa.int64()), ("block", pa.int64()), ("key", pa.binary()), ("copies", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        got = [r for b in near._verify(near.SIMILARITY)(iter([pa.RecordBatch.from_pylist(rows, schema)])) for r in b.to_pylist()]
+        assert [(r["texts"], r["docs"]) for r in got] == [(1, 1)] * 2 * links
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
