@@ -34,7 +34,9 @@ BOILER_WORDS = frozenset(
 )
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>""")
+# a quote opens a value only right after "="; a value whose quote is never closed is an unquoted one
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>""")
+CUT_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 FEATURES = ["boiler", "article", "words", "links", "words_before", "links_before", "words_after", "links_after", "heading"]
 
@@ -66,6 +68,7 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     in_link = heading = False
+    tags = TAG
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
@@ -97,14 +100,16 @@ def blocks(page: str | None) -> list[Block]:
             end = page.find(">", tag)
             at = len(page) if end < 0 else end + 1
             continue
-        m = TAG.match(page, tag)
+        m = tags.match(page, tag)
+        if not m and re.match(r"</?[A-Za-z]", page[tag : tag + 3]):
+            # no ">" outside quotes up to the end of the page: from here on a tag ends at its first ">"
+            tags = CUT_TAG
+            m = tags.match(page, tag)
+            if not m:
+                break
         if not m:
-            if re.match(r"</?[A-Za-z]", page[tag : tag + 3]):  # a tag that is cut off or has a stray quote
-                end = page.find(">", tag)
-                at = len(page) if end < 0 else end + 1
-            else:
-                add("<")
-                at = tag + 1
+            add("<")
+            at = tag + 1
             continue
         at, closing, name, rest = m.end(), m[1] == "/", m[2].lower(), m[3]
         if name in RAW:

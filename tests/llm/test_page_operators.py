@@ -102,6 +102,29 @@ def test_broken_pages(spark):
     assert html_text.extract(pages_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=don't>First paragraph.</p><p>It's the second.</p>", ["First paragraph.", "It's the second."]),
+        ("<p don't>One.</p><p>It's two.</p>", ["One.", "It's two."]),
+        ('<p title="a"b">One "two".</p><p>Three"</p>', ['One "two".', 'Three"']),
+        ('<p title = "a>b" lang=en/>One.<p>Two.', ["One.", "Two."]),
+        ('<p title="a>One.</p><p>Two.</p>', ["One.", "Two."]),
+        ('<p>One.</p><p title="a>Two.</p><p>Three "four"', ["One.", "Two.", 'Three "four"']),
+        ('<p =">One.</p><p>"Two".</p>', ["One.", '"Two".']),
+    ],
+)
+def test_stray_quotes(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
+def test_cut_off_tags():
+    for end in ("x" * 1000, "a=" * 500, "a='" * 500, 'a="b" ' * 200, '"' * 1000, " " * 1000, "/" * 1000, "='" * 999):
+        assert [b.text for b in html_text.blocks(f"<p>One.</p><div {end}")] == ["One."]
+    # every tag is open up to the end of the page
+    assert len(html_text.blocks("""<p a=" <q b=' > ' " """ * 50_000)) < 100_000
+
+
 def test_tree_fits_its_table():
     tree = html_text.train()
     for page, labels in html_text.LABELLED:
