@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from gapwise.llm.common import in_pieces
 
 WINDOW = 5
-#: shortest repeat that counts, in words
-MIN_REPEAT = 5
-#: most a text may be covered by repeats, and the longest repeat allowed in words and as a part of the text
-MAX_COVERED, MAX_LONGEST, MAX_LONGEST_PART = 0.2, 50, 0.05
+#: shortest repeat that counts, in words; longer than the base rule's window, or the covered words would be that rule's
+MIN_REPEAT = 10
+#: most a text may be covered by repeats (below the base rule's part, which no longer repeats reach), and the longest repeat allowed in words
+MAX_COVERED, MAX_LONGEST = 0.1, 50
 #: fixed: characters that count as symbols
 SYMBOLS = "#*$%&|<>"
 #: words ranked together
@@ -134,13 +134,13 @@ def _words(text: str | None) -> list[str]:
 
 def rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED,
-    max_longest: int = MAX_LONGEST, max_longest_part: float = MAX_LONGEST_PART,
+    max_longest: int = MAX_LONGEST,
 ) -> DataFrame:
     """One row per row: id, counts, ``base_failed``, ``kept``, ``n_covered_words``, ``longest_repeat``.
 
     A text fails the base rules with fewer than 10 words or more than 20 % of them in windows of five that occur twice.  Of
     the others it is kept unless repeats of ``min_repeat`` words or more cover more than ``max_covered`` of its words, or the longest
-    repeat has more than ``max_longest`` words and more than ``max_longest_part`` of all words.  Null and blank texts have no words and
+    repeat has more than ``max_longest`` words, however long the text is.  Null and blank texts have no words and
     fail.  Repeated rows stay, other columns are ignored, an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -171,7 +171,7 @@ def rules(
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in counts))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     covered = F.col("n_covered_words") > F.lit(max_covered) * F.col("n_words")
-    long = (F.col("longest_repeat") > max_longest) & (F.col("longest_repeat") > F.lit(max_longest_part) * F.col("n_words"))
+    long = F.col("longest_repeat") > max_longest
     return out.select(
         F.col("id").alias(id_col), *counts[:5], failed.alias("base_failed"), (~failed & ~covered & ~long).alias("kept"), *counts[5:],
     )

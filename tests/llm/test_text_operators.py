@@ -56,6 +56,19 @@ def test_long_repeat_rejects(spark):
     assert r["base_failed"] or r["longest_repeat"] == 55
 
 
+def test_rules_add_to_the_base(spark):
+    """A long passage twice in a very long text, and many repeats of 12 words, fail texts that the base rules let pass."""
+    run = lambda k, n: [f"{k}{i}" for i in range(n)]
+    passage = run("p", 900)
+    long = run("a", 9000) + passage + run("b", 9200) + passage
+    many = [w for j in range(10) for w in run(f"s{j}_", 12) + run(f"c{j}_", 66) + run(f"s{j}_", 12) + run(f"d{j}_", 66)]
+    few = run("e", 400) + many[:300]
+    got = {r["doc_id"]: r for r in repetition.rules(docs_of(spark, [" ".join(x) for x in (long, many, few)])).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[i]["longest_repeat"] for i in range(3)] == [900, 12, 12]
+    assert [got[i]["kept"] for i in range(3)] == [False, False, True]
+
+
 # ------------------------------------------------------------------ decontamination
 
 
