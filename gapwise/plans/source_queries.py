@@ -104,7 +104,7 @@ def _(spark, sf):
 @query("s8_stats_table", f"WITH {_A4} SELECT uid, hour, round(m,6)+0.0 AS x_med, round(greatest(d*1.4826,1e-12),6)+0.0 AS x_smad FROM (SELECT us.uid, ghf.hour, coalesce(uh.m, ghf.m) AS m, coalesce(uh.d, ghf.d) AS d FROM us CROSS JOIN ghf LEFT JOIN uh ON uh.uid=us.uid AND uh.hour=ghf.hour)")
 def _(spark, sf):
     path = _folder(spark)
-    sinks.save_stats(W.fit_robust_stats(gaps(spark, sf), epsilon=0.5), path)
+    sinks.save_stats(W.fit_robust_stats(gaps(spark, sf), epsilon=0.5), path, epsilon=0.5)
     s = sinks.load_stats(spark, path).where("level = 'key' AND hour IS NOT NULL")
     return s.select("uid", "hour", r6("x_med").alias("x_med"), r6("x_smad").alias("x_smad"))
 

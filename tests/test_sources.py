@@ -51,6 +51,23 @@ def test_stats_round_trip(spark, tmp_path):
     assert r["x_smad"] == 1e-12 and r["x_med"] == 2.0
 
 
+def test_stats_keep_epsilon_and_fill_hours(spark, tmp_path):
+    rows = [
+        ("global", None, None, None, 5.0, 1.0, None, 9), ("global", None, None, 3, 6.0, None, None, 2),
+        ("key", "u", "s", None, 2.0, 0.5, 0.7, 4), ("key", "u", "s", 7, 3.0, 0.1, 0.2, 1), ("key", "v", None, 7, 4.0, 0.0, 0.0, 1),
+    ]
+    s = spark.createDataFrame(rows, "level string, uid string, session_id string, hour int, x_med double, x_mad double, x_smad double, n long")
+    sinks.save_stats(s, str(tmp_path / "s"), epsilon=0.5)
+    back = sinks.load_stats(spark, str(tmp_path / "s"))
+    assert back.columns == [*s.columns, "epsilon"]
+    got = {(r["uid"], r["session_id"], r["hour"]): (r["x_med"], r["x_mad"], round(r["x_smad"], 12), r["epsilon"]) for r in back.collect()}
+    want = {(u, k, h): x for u, k, x in ((None, None, (5.0, 1.0, 1.4826, 0.5)), ("u", "s", (2.0, 0.5, 0.7, 0.5))) for h in (None, *range(24))}
+    want |= {(None, None, 3): (6.0, 1.0, 1.4826, 0.5), ("u", "s", 7): (3.0, 0.1, 0.2, 0.5), ("v", None, 7): (4.0, 0.0, 1e-12, 0.5)}
+    assert got == want
+    sinks.save_stats(s, str(tmp_path / "t"), epsilon=0.0)
+    assert {r["epsilon"] for r in sinks.load_stats(spark, str(tmp_path / "t")).collect()} == {1e-12}
+
+
 @pytest.mark.parametrize("text,want", [
     ("1706745600", 1706745600.0), ("-3.5", -3.5), ("2024-02-01T00:00:00Z", 1706745600.0), ("2024-02-01T00:00:00.250+01:30", 1706740200.25),
     ("2024-02-30T00:00:00Z", None), ("2024-02-01T24:00:00Z", None), ("2024-02-01T00:00:00+24:00", None), ("2024-02-01", None), ("", None),
