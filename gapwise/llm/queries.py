@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwise.llm import decontaminate, html_text, langid, mixing, near, pii, quality, repetition, url_filter, warc
+from gapwise.llm import conversation, decontaminate, html_text, langid, mixing, near, pii, quality, repetition, url_filter, warc
 from gapwise.llm.common import table
 from gapwise.plans.registry import query
 
@@ -59,3 +59,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf, "documents")))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation.repair(conversation.damage(table(spark, sf, "conversations")))

@@ -98,3 +98,62 @@ def repeats(w, least):
 def payload(html):
     data = (html or "").encode()
     return len(data), base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def cheapest_repair(rows):
+    """Cheapest audit and repaired lines by Dijkstra over (rows consumed, initials so far); rows are (role, text, fault)."""
+    import heapq
+
+    def step(q, initial):
+        return {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}.get((q, initial))
+
+    heap, seen = [(0, "", 0, 0, ())], set()
+    while heap:
+        cost, audit, i, q, lines = heapq.heappop(heap)
+        if (i, q) in seen:
+            continue
+        seen.add((i, q))
+        if i == len(rows) and q in (0, 3):
+            return cost, audit, "\n".join(lines)
+        for role in ("user", "assistant"):
+            to = step(q, role[0])
+            if to is not None:
+                heapq.heappush(heap, (cost + 3, audit + "I", i, to, (*lines, role + ":")))
+        if i < len(rows):
+            role, text, fault = rows[i]
+            heapq.heappush(heap, (cost + 4, audit + "D", i + 1, q, lines))
+            if fault not in ("blank", "duplicate"):
+                more = 3 * (fault == "truncated")
+                for letter, name, extra in [("K", role, 0), ("R", "user", 3), ("R", "assistant", 3)]:
+                    to = step(q, name[:1])
+                    if to is not None:
+                        heapq.heappush(heap, (cost + extra + more, audit + letter, i + 1, to, (*lines, f"{name}:{text}")))
+
+
+def conversation_report(rows):
+    """Report per conversation of rows (conv_id, turn, role, text), as they are damaged by their hash."""
+    import zlib
+
+    by, space = {}, lambda v: " " if v is None else str(v)
+    for conv, turn, role, text in rows:
+        kept = by.setdefault(conv, [])
+        code = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20
+        role, text = "user" if code == 4 else space(role), "" if code == 1 else space(text)
+        text = re.sub("[.!?]", "", text) if code == 2 else text
+        kept += [(turn, role, text)] * (0 if code == 0 else 2 if code == 3 else 1)
+    out = {}
+    for conv, kept in by.items():
+        kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).digest()))
+        seen, faults = set(), []
+        for _, role, text in kept:
+            solid = re.sub(r"[\x20\x09-\x0D]+", "", text)
+            faults.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else None)
+            seen.add((role, text))
+        turns = [t for t, _, _ in kept if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        initials = [r[:1] for _, r, _ in kept]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit, text = cheapest_repair([(r, t, f) for (_, r, t), f in zip(kept, faults)])
+        counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+        out[conv] = (gaps, *counts, illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest())
+    return out
