@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwise.llm import conversation, decontaminate, html_text, langid, mixing, near, pii, quality, repetition, url_filter, warc
+from gapwise.llm import conversation, decontaminate, html_text, langid, mixing, near, packing, pii, quality, repetition, url_filter, warc
 from gapwise.llm.common import table
 from gapwise.plans.registry import query
 
@@ -64,3 +64,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return conversation.repair(conversation.damage(table(spark, sf, "conversations")))
+
+
+@query("op13_sequence_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"))
