@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwise.llm import conversation, decontaminate, html_text, langid, mixing, near, packing, pii, quality, repetition, url_filter, warc
+from gapwise.llm import conversation, decontaminate, html_text, langid, mixing, near, packing, phrases, pii, quality, repetition, url_filter, warc
 from gapwise.llm.common import table
 from gapwise.plans.registry import query
 
@@ -69,3 +69,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_sequence_packing")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op12_phrase_collocations", phrases.mine_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.mine(table(spark, sf, "documents"))
