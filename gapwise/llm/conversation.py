@@ -104,7 +104,6 @@ def prices(symbols: str, ends: tuple) -> list[tuple]:
     return layers[::-1]
 
 
-@lru_cache(maxsize=4096)
 def trace(symbols: str, ends: tuple, state: int) -> tuple[tuple[str, ...], int, int]:
     """ASCII-least cheapest edits from ``state``: letters per row (inserts before it first, behind the last row at the end),
     the state behind the block and the cost of the block's edits."""
@@ -306,7 +305,7 @@ class _Digest:
 def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk rows sorted by conversation and place; a block's header comes before its rows."""
     digest = head = last = None
-    steps, at = (), 0
+    steps, at, solve = (), 0, lru_cache(maxsize=4096)(trace)
     columns = ["kind", "turn", "role", "digest", "text", "symbols", "times", "ends", "block", "final", "conv"]
     for b in batches:
         out = []
@@ -314,7 +313,7 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 if block == 0:
                     digest = _Digest()
-                steps, _, cost = trace(symbols, tuple(ends), digest.state)
+                steps, _, cost = solve(symbols, tuple(ends), digest.state)
                 audit = "".join(s + "D" * (n - 1) for s, n in zip(steps, times)) + steps[-1]
                 head = (conv, block, audit, cost + DELETE * (sum(times) - len(times)), block == final)
                 at, last = 0, None
