@@ -7,7 +7,7 @@ bounded size.  Sequences that a group leaves open are dissolved, and their piece
 round saves no sequence.  Only keys and lengths travel; a task holds one group.
 
 The tokenizer must drop white space and split letters and digits from punctuation (``word_bpe_49k.json`` does), so that the ids of a
-text are those of its words one after another; ids of words are remembered between batches.  Strings of special tokens in a
+text are those of its words one after another; ids of words are remembered by each Python worker.  Strings of special tokens in a
 text are ordinary text.
 """
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +37,31 @@ END = 0
 GROUP = 50_000
 VOCABULARY = "word_bpe_49k.json"
 
-#: a letter (ASCII or Latin-1, UTF-8) or digit before punctuation: the tokenizer splits there, so a space may be added
-EDGE = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?=[.,;:!?])")
-KNOWN_BYTES = 48 << 20
+#: between a letter (ASCII or Latin-1, UTF-8) or digit and punctuation other than an apostrophe the tokenizer always splits
+EDGE = re.compile(
+    rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=\xc3[\x9f-\xb6\xb8-\xbf])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])"
+)
+#: words that its normalizer and its splitting leave as they are: lower-case letters of ASCII and Latin-1
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+KNOWN_BYTES = 128 << 20
 
 
-class Words:
-    """Ids of words as little-endian 32-bit bytes, up to ``KNOWN_BYTES`` of them remembered."""
+def _byte_letters() -> dict[int, int]:
+    """The letter by which byte-level tokenizers write each byte: itself where it is printable, else 256 and up in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
+class Words(dict):
+    """Ids of words as little-endian 32-bit bytes, computed when a word is first asked for."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -56,20 +75,32 @@ class Words:
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known, self.size = {}, 0
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        each = [EDGE.sub(rb"\g<0> ", (t or "").encode().lower()).split() for t in texts]
-        new = list(set().union(*each) - self.known.keys())
+        self.model, self.letters, self.size = self.tokenizer.model, _byte_letters(), 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        if PLAIN.fullmatch(word):
+            found = _packed([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))])
+        elif word[-1:] in b".,;:!?" and PLAIN.fullmatch(word, 0, len(word) - 1):
+            found = self[word[:-1]] + self[word[-1:]]
+        elif len(parts := EDGE.sub(b" ", word).split()) > 1:
+            found = b"".join([self[p] for p in parts])
+        else:
+            found = _packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        self[word] = found
+        self.size += len(word) + len(found) + 150
+        return found
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; a batch's words are told apart by Arrow, so that each is looked up once."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = split.flatten().dictionary_encode()
+        of = [self[w] for w in words.dictionary.cast(pa.binary()).to_pylist()]
+        at, ends = words.indices.to_numpy(), split.offsets.to_numpy()
+        for start, end in zip(ends[:-1], ends[1:]):
+            yield b"".join(map(of.__getitem__, at[start - ends[0] : end - ends[0]].tolist()))
         if self.size > KNOWN_BYTES:
-            self.known, self.size, new = {}, 0, list(set().union(*each))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            ids = array("I", found.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            self.known[word] = ids.tobytes()
-            self.size += len(word) + 4 * len(ids) + 100
-        return [b"".join(map(self.known.__getitem__, words)) for words in each]
+            self.clear()
+            self.size = 0
 
 
 def _words(vocabulary: str) -> Words:
@@ -94,9 +125,9 @@ def tokenize(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(vocabulary)
         last = end.to_bytes(4, "little")
-        for b in in_pieces(batches):
+        for b in in_pieces(batches, 256):
             row, piece, start, size, crc, ids = [], [], [], [], [], []
-            for i, found in enumerate(words.ids(b["text"].to_pylist())):
+            for i, found in enumerate(words.ids(b["text"])):
                 found += last
                 for k in range(0, len(found), step):
                     part = found[k : k + step]

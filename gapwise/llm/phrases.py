@@ -31,16 +31,27 @@ PIECES = r"[.,;:!?\x0A-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: joins whose sides are bucketed by one of their keys run bucket by bucket; a task writes its one bucket without sorting
+LOCAL = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.maxConcurrentOutputFileWriters": "4"}
+
+
 @contextmanager
-def _local_joins(spark: SparkSession) -> Iterator[None]:
-    """Let a join whose sides are bucketed by one of its keys run bucket by bucket."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
+def _local_work(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in LOCAL}
+    for name, value in LOCAL.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _bucket_names(spark: SparkSession, buckets: int) -> Column:
+    """A number for each bucket that Spark's hash sends to a partition of its own, as an array."""
+    names = spark.range(40 * buckets + 1000).select(F.col("id").cast("int").alias("name"))
+    names = names.groupBy(F.pmod(F.hash("name"), F.lit(buckets)).alias("at")).agg(F.min("name").alias("name"))
+    return F.array(*[F.lit(r["name"]) for r in sorted(names.collect())])
 
 
 class _Relations:
@@ -66,7 +77,8 @@ def _texts(docs: DataFrame, buckets: int) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"),
     ).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.where("text <> ''").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    bucket = F.element_at(_bucket_names(docs.sparkSession, buckets), F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int") + 1)
+    rows = rows.where("text <> ''").withColumn("bucket", bucket)
     return rows.repartition(buckets, "bucket").sortWithinPartitions("row")
 
 
@@ -123,7 +135,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """
     spark = docs.sparkSession
     kept = _Relations(spark)
-    with _local_joins(spark):
+    with _local_work(spark):
         texts = kept.write(_texts(docs, kept.buckets))
         local = durable(_occurrences(texts).groupBy("bucket", "lang", "word").agg(F.count("*").alias("n")))
         sizes = local.groupBy("lang").agg(F.sum("n").alias("n"))
