@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Generator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,6 @@ from .statistics import resolve_tiers, tier_levels
 
 CANDIDATES = (0.9, 0.93, 0.95, 0.975, 0.99)
 XI_RANGE = (-0.9, 0.95)
-#: weighted excesses of one group that a single task may hold
-GROUP_LIMIT = 500_000
 
 
 def calibration_rows(df: DataFrame, first: int | None = None, between: tuple[float, float] | None = None,
@@ -114,175 +112,110 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
 
 # fitting ------------------------------------------------------------------------
 
-Points = list[tuple[float, float]]
-
-
-def _simplex(start: tuple[float, float], steps: tuple[float, float], rounds: int = 200, tol: float = 1e-6) -> Generator[Points, list[float], tuple[float, float]]:
-    """Downhill simplex in two dimensions that asks its caller for function values."""
-    pts = [np.array(start), np.array([start[0] + steps[0], start[1]]), np.array([start[0], start[1] + steps[1]])]
-    vals = yield [tuple(p) for p in pts]
-    best = list(zip(vals, range(3), pts, strict=True))
-    serial = 3
-    for _ in range(rounds):
-        best.sort(key=lambda t: t[:2])
-        if best[2][0] - best[0][0] < tol:
-            break
-        mid = (best[0][2] + best[1][2]) / 2
-        away = mid - best[2][2]
-        (v,) = yield [tuple(mid + away)]
-        point = mid + away
-        if v < best[0][0]:
-            (far,) = yield [tuple(mid + 2 * away)]
-            if far < v:
-                v, point = far, mid + 2 * away
-        elif v >= best[1][0]:
-            point = mid - away / 2
-            (v,) = yield [tuple(point)]
-            if v >= best[2][0]:
-                moved = [best[0][2] + (b[2] - best[0][2]) / 2 for b in best[1:]]
-                vals = yield [tuple(m) for m in moved]
-                best = [best[0], *[(a, serial + i, m) for i, (a, m) in enumerate(zip(vals, moved, strict=True))]]
-                serial += 2
-                continue
-        best[2] = (v, serial, point)
-        serial += 1
-    best.sort(key=lambda t: t[:2])
-    return float(best[0][2][0]), float(best[0][2][1])
-
-
-def _neg_log_likelihood(n: float, beta: float, xi: float, sum_y: float, sum_log: float) -> float:
-    if abs(xi) < 1e-9:
-        return n * math.log(beta) + sum_y / beta
-    return n * math.log(beta) + (1 + 1 / xi) * sum_log
-
-
-def _start(n: float, mean: float, var: float) -> tuple[float, float]:
-    if not (var > 0 and math.isfinite(var)):
-        return 0.1, max(mean, 1e-6)
-    xi = min(0.9, max(-0.45, (1 - mean * mean / var) / 2))
-    return xi, max(mean * (1 - xi), 1e-6)
-
-
-def _search(n: float, mean: float, var: float):
-    xi, beta = _start(n, mean, var)
-    return _simplex((xi, math.log(beta)), (abs(xi) * 0.2 if xi else 0.05, 0.2))
-
-
-def _bounded(point: tuple[float, float], bounds: tuple[float, float]) -> tuple[float, float]:
-    return float(min(bounds[1], max(bounds[0], point[0]))), math.exp(min(700.0, max(-700.0, point[1])))
-
-
-def _accept(point: tuple[float, float], mean: float, xi_eps: float, bounds) -> tuple[float, float] | None:
-    xi, beta = _bounded(point, bounds)
-    beta = max(beta, 1e-9)
-    if abs(xi) < xi_eps:
-        return 0.0, max(mean, 1e-9)
-    return (xi, beta) if math.isfinite(xi) and math.isfinite(beta) else None
+#: The profile likelihood has one variable, w = ln(1 + xi max(y) / beta).  The first grid covers it (a mean excess of the
+#: heaviest tail that a double holds lies inside); each next one covers the two steps around the best point so far.
+FIRST = (-30.0, 2.5, 53)
+STEPS = (0.125, 6.25e-3, 3.125e-4, 1.5625e-5)
+POINTS = 41
+
+
+def _per_row_cost(w: float, m: float, top: float, mean: float, bounds: tuple[float, float]) -> float:
+    """Negative log likelihood per excess at ``w``, xi being the best one there: the mean ``m`` of ln(1 + xi y / beta), bounded."""
+    if abs(w) < 1e-12:
+        return math.log(mean) + 1
+    xi = min(bounds[1], max(bounds[0], m))
+    return math.log(xi * top / math.expm1(w)) + (1 + 1 / xi) * m
 
 
 def fit_excesses(y: np.ndarray, n: np.ndarray, xi_eps: float, bounds=XI_RANGE) -> tuple[float, float, str]:
-    """T17 for one group of weighted excesses: likelihood, else PWM, moments, mean."""
-    size = float(n.sum())
+    """T17 for one bounded sample of weighted excesses, as kept in the state of a stream; see ``fit_tails``."""
+    size, top = float(n.sum()), float(y.max())
     mean = float((n * y).sum() / size)
-    var = float((n * (y - mean) ** 2).sum() / (size - 1)) if size >= 2 else 0.0
-    sum_y = mean * size
-
-    def cost(point):
-        xi, beta = _bounded(point, bounds)
-        inside = 1 + xi * y / beta
-        if np.any(inside <= 0):
-            return math.inf
-        return _neg_log_likelihood(size, beta, xi, sum_y, float((n * np.log(inside)).sum()))
-
-    search = _search(size, mean, var)
-    pts = next(search)
-    while True:
-        try:
-            pts = search.send([cost(p) for p in pts])
-        except StopIteration as stop:
-            found = _accept(stop.value, mean, xi_eps, bounds)
-            break
-    if found:
-        return (*found, "mle")
-    if size >= 2:
-        order = np.argsort(y, kind="stable")
-        ys, ns = y[order], n[order]
-        below = np.cumsum(ns) - ns
-        # sum over equal values of (size - rank) / (size - 1), rank from 1
-        share = (ns * (size - below) - ns * (ns + 1) / 2) / (size - 1)
-        b0, b1 = mean, float((share * ys).sum() / size)
-        den = b0 - 2 * b1
-        if abs(den) >= 1e-12 and 2 * b0 * b1 / den > 0:
-            return min(bounds[1], max(bounds[0], (2 * b1 - b0) / den)), max(2 * b0 * b1 / den, 1e-9), "pwm"
-        if mean > 0 and var > 0:
-            xi = min(bounds[1], max(bounds[0], 0.5 * (1 - mean * mean / var)))
-            return xi, max(mean * (1 - xi), 1e-9), "mom"
-    return 0.0, max(mean, 1e-6), "quantile"
-
-
-def _fit_large(exc: DataFrame, keys: Sequence[str], xi_eps: float, bounds=XI_RANGE) -> DataFrame:
-    """T17 for large groups: each round evaluates the trial points of all of them in one aggregate."""
-    keys = list(keys)
-    base = exc.groupBy(*keys).agg(
-        F.sum("n").cast("double").alias("size"), F.sum(F.col("n") * F.col("y")).alias("sy"),
-        F.sum(F.col("n") * F.col("y") * F.col("y")).alias("sq"),
-    ).collect()  # one row per group above GROUP_LIMIT
-    groups = []
-    for g in base:
-        mean = g["sy"] / g["size"]
-        var = (g["sq"] - g["size"] * mean * mean) / max(g["size"] - 1, 1)
-        groups.append({"key": [g[k] for k in keys], "n": g["size"], "mean": mean, "sy": g["sy"], "run": _search(g["size"], mean, var)})
-    spark = exc.sparkSession
-    types = dict(exc.dtypes)
-    ids = spark.createDataFrame([(*g["key"], i) for i, g in enumerate(groups)], ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_gid int"]))
-    rows = durable(attach(exc, F.broadcast(ids), keys, "inner").select("_gid", "y", "n"))
-    asked = {i: next(g["run"]) for i, g in enumerate(groups)}
-    while asked:
-        flat = [(i, j, *_bounded(p, bounds)) for i, pts in asked.items() for j, p in enumerate(pts)]
-        trial = spark.createDataFrame(flat, "_gid int, _pid int, xi double, beta double")
-        inside = 1 + F.col("xi") * F.col("y") / F.col("beta")
-        sums = (
-            rows.join(F.broadcast(trial), "_gid")
-            .groupBy("_gid", "_pid")
-            .agg(F.sum(F.col("n") * F.ln(F.when(inside > 0, inside))).alias("s"), F.count_if(inside <= 0).alias("bad"))
-            .collect()  # at most three rows per group
-        )
-        got = {(r["_gid"], r["_pid"]): (r["s"], r["bad"]) for r in sums}
-        following = {}
-        for i, pts in asked.items():
-            g = groups[i]
-            vals = []
-            for j, p in enumerate(pts):
-                xi, beta = _bounded(p, bounds)
-                s, bad = got[(i, j)]
-                vals.append(math.inf if bad else _neg_log_likelihood(g["n"], beta, xi, g["sy"], s))
-            try:
-                following[i] = g["run"].send(vals)
-            except StopIteration as stop:
-                g["fit"] = _accept(stop.value, g["mean"], xi_eps, bounds) or (0.0, max(g["mean"], 1e-6))
-        asked = following
-    out = [(*g["key"], g["fit"][0], g["fit"][1], "mle") for g in groups]
-    return spark.createDataFrame(out, ", ".join([f"`{k}` {types[k]}" for k in keys] + ["xi double", "beta double", "estimator string"]))
-
-
-def fit_tails(exc: DataFrame, keys: Sequence[str], xi_eps: float = 1e-6, bounds=XI_RANGE, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Xi, beta and estimator per key from weighted excesses (keys, y, n)."""
+    if not (top > 0 and math.isfinite(top)):
+        return 0.0, max(mean, 1e-6), "quantile"
+
+    def means(ws: np.ndarray) -> np.ndarray:
+        return np.log1p(np.expm1(ws)[:, None] / top * y[None, :]) @ n / size
+
+    def grid(ws: np.ndarray) -> tuple[int, list[float]]:
+        with np.errstate(divide="ignore"):
+            costs = [_per_row_cost(w, m, top, mean, bounds) for w, m in zip(ws, means(ws), strict=True)]
+        return int(np.argmin(costs)), costs
+
+    ws = FIRST[0] + FIRST[1] * np.arange(FIRST[2])
+    best, costs = grid(ws)
+    for step in STEPS:
+        ws = ws[best] + step * (np.arange(POINTS) - POINTS // 2)
+        best, costs = grid(ws)
+    w = float(ws[best])
+    if 0 < best < POINTS - 1:
+        bend = costs[best - 1] - 2 * costs[best] + costs[best + 1]
+        if bend > 0:
+            w += STEPS[-1] * (costs[best - 1] - costs[best + 1]) / (2 * bend)
+    xi = min(bounds[1], max(bounds[0], float(means(np.array([w]))[0])))
+    if abs(w) < 1e-12 or abs(xi) < xi_eps:
+        return 0.0, max(mean, 1e-9), "mle"
+    return xi, max(xi * top / math.expm1(w), 1e-9), "mle"
+
+
+def fit_tails(exc: DataFrame, keys: Sequence[str], xi_eps: float = 1e-6, bounds=XI_RANGE) -> DataFrame:
+    """Xi, beta and estimator per key from weighted excesses (keys, y, n), for groups of any size.
+
+    For a fixed ratio of xi and beta the likelihood is largest where xi is the mean of ln(1 + xi y / beta), so one variable
+    remains.  Its likelihood is evaluated on a grid for all groups in one aggregate, the grid is refined around the best
+    point four times, and a parabola through the last three points gives the maximum.  Nothing depends on the size of a group.
+
+    A group with a positive excess always has such a maximum inside the bounds, so the estimators that stand behind it in
+    the chain (weighted and plain moments, which need a positive excess too) have nothing left to do; a group without one has
+    xi 0 and its mean, estimator ``quantile``.
+    """
     keys = list(keys)
-    types = dict(exc.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["xi double", "beta double", "estimator string"])
-    exc = exc.select(*keys, "y", "n").where("y >= 0")
-
-    def fit(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_excesses(pdf["y"].to_numpy(float), pdf["n"].to_numpy(float), xi_eps, bounds)
-        return pd.DataFrame([[*group, *got]])
-
-    sizes = durable(exc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")))
-    small = attach(exc, sizes.where(F.col("_k") <= group_limit), keys, "inner").drop("_k")
-    out = (spread(small, keys) if keys else small).groupBy(*keys).applyInPandas(fit, schema)
-    large = sizes.where(F.col("_k") > group_limit)
-    if large.isEmpty():
-        return out
-    return out.unionByName(_fit_large(attach(exc, large, keys, "inner").drop("_k"), keys, xi_eps, bounds))
+    exc = durable(exc.select(*keys, F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n")).where("y >= 0"))
+    kept = ["_size", "_mean", "_top"]
+    total_n = F.sum("n")
+    base = exc.groupBy(*keys).agg(total_n.alias("_size"), (F.sum(F.col("n") * F.col("y")) / total_n).alias("_mean"), F.max("y").alias("_top"))
+    w, top, size = F.col("_w"), F.when(F.col("_top") > 0, F.col("_top")), F.col("_size")
+
+    def means(state: DataFrame, ws: list) -> DataFrame:
+        rows = attach(exc, state, keys, "inner")
+        each = [F.sum(F.col("n") * F.log1p(F.expm1(x) / top * F.col("y"))) for x in ws]
+        out = rows.groupBy(*keys).agg(F.array(*each).alias("_sums"), *[F.max(c).alias(c) for c in [*kept, "_w"]])
+        return out.withColumn("_m", F.transform("_sums", lambda x: x / size)).drop("_sums")
+
+    def cost(at, m):
+        xi = F.least(F.greatest(m, F.lit(bounds[0])), F.lit(bounds[1]))
+        inner = F.ln(xi * top / F.expm1(at)) + (1 + 1 / xi) * m
+        return F.when(F.abs(at) < 1e-12, F.ln(F.when(F.col("_mean") > 0, F.col("_mean"))) + 1).otherwise(inner)
+
+    def refined(state: DataFrame, offsets: list[float], last: bool = False) -> DataFrame:
+        found = means(state, [w + o for o in offsets])
+        places = F.array(*[w + F.lit(o) for o in offsets])
+        pairs = F.zip_with(places, "_m", lambda at, m: F.struct(cost(at, m).alias("cost"), at.alias("at")))
+        found = found.withColumn("_all", pairs).withColumn("_best", F.array_min(F.filter("_all", lambda p: p["cost"].isNotNull())))
+        at = F.col("_best")["at"]
+        if last:
+            i = F.array_position("_all", F.col("_best")).cast("int") - 1
+            before, here, after = [F.get("_all", i + k)["cost"] for k in (-1, 0, 1)]
+            bend = before - 2 * here + after
+            at = at + F.coalesce(F.when(bend > 0, STEPS[-1] * (before - after) / (2 * bend)), F.lit(0.0))
+        return found.select(*keys, *kept, at.alias("_w"))
+
+    state = refined(base.withColumn("_w", F.lit(FIRST[0])), [FIRST[1] * k for k in range(FIRST[2])])
+    for step in STEPS:
+        state = refined(state, [step * (k - POINTS // 2) for k in range(POINTS)], last=step == STEPS[-1])
+    done = means(state, [w])
+    xi = F.least(F.greatest(F.get("_m", F.lit(0)), F.lit(bounds[0])), F.lit(bounds[1]))
+    flat = (F.abs(w) < 1e-12) | (F.abs(xi) < xi_eps)
+    fitted = w.isNotNull() & xi.isNotNull() & ~F.isnan(xi)
+    return done.select(
+        *keys,
+        F.when(fitted & ~flat, xi).otherwise(0.0).alias("xi"),
+        F.when(fitted & ~flat, F.greatest(xi * top / F.expm1(w), F.lit(1e-9)))
+        .when(fitted, F.greatest("_mean", F.lit(1e-9)))
+        .otherwise(F.greatest("_mean", F.lit(1e-6)))
+        .alias("beta"),
+        F.when(fitted, "mle").otherwise("quantile").alias("estimator"),
+    )
 
 
 # thresholds ---------------------------------------------------------------------

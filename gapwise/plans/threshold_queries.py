@@ -490,9 +490,48 @@ def _(spark, sf):
     return t.select("uid", "n", "n_exc", *_cols("u", "xi", "p_ref", "q_star"), F.round("beta", 4).alias("beta"), F.round("tau", 4).alias("tau"))
 
 
-@query("t15_spot_threshold")
-def _(spark, sf):
-    return G.spot_threshold(gaps(spark, sf).where("delta_seconds IS NOT NULL"), ["op_category"], "delta_seconds", calib_frac=0.8, index="row_index", min_exceed=20)
+def _tail_fit_sql(keys: str, src: str, bounds: tuple[float, float], xi_eps: float) -> str:
+    """Tables up to ``tail`` (keys, xi, beta, estimator): the profile likelihood grid of T17 over ``src`` (keys, y, n)."""
+    # 1 - exp and ln(1 + x) without loss for small arguments
+    em1 = "CASE WHEN exp({w}) = 1 THEN {w} ELSE (exp({w}) - 1) * {w} / ln(exp({w})) END"
+    l1p = "CASE WHEN 1 + ({x}) = 1 THEN ({x}) WHEN 1 + ({x}) <= 0 THEN -'infinity'::DOUBLE ELSE ln(1 + ({x})) * ({x}) / ((1 + ({x})) - 1) END"
+    parts = [f"tb AS (SELECT {keys}, sum(n)::DOUBLE AS size, sum(n * y) / sum(n) AS mean, max(y) AS top, {G.FIRST[0]}::DOUBLE AS w FROM {src} GROUP BY {keys})"]
+    grids = [(G.FIRST[1], 0, G.FIRST[2]), *[(step, G.POINTS // 2, G.POINTS) for step in G.STEPS]]
+    xi = f"least(greatest(m, {bounds[0]}), {bounds[1]})"
+    from_ = "tb"
+    for i, (step, middle, points) in enumerate(grids):
+        theta = f"({em1.format(w='g.pt')}) / g.top"
+        parts.append(f"""g{i} AS (SELECT *, w + {step!r}::DOUBLE * (k - {middle}) AS pt FROM {from_}, (SELECT unnest(range({points})) AS k)),
+ s{i} AS (SELECT {keys}, k, any_value(g.pt) AS pt, any_value(size) AS size, any_value(mean) AS mean, any_value(top) AS top, sum(x.n * ({l1p.format(x=f'{theta} * x.y')})) / any_value(size) AS m
+   FROM {src} x JOIN g{i} g USING ({keys}) GROUP BY {keys}, k),
+ c{i} AS (SELECT *, CASE WHEN abs(pt) < 1e-12 THEN ln(mean) + 1 ELSE ln(({xi}) * top / ({em1.format(w='pt')})) + (1 + 1 / ({xi})) * m END AS cost FROM s{i}),
+ n{i} AS (SELECT *, lag(cost) OVER (PARTITION BY {keys} ORDER BY k) AS before, lead(cost) OVER (PARTITION BY {keys} ORDER BY k) AS after FROM c{i}),
+ b{i} AS (SELECT {keys}, size, mean, top, pt, before, cost, after FROM n{i} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY cost, pt) = 1)""")
+        move = "0" if i + 1 < len(grids) else f"coalesce(CASE WHEN before - 2 * cost + after > 0 THEN {step!r}::DOUBLE * (before - after) / (2 * (before - 2 * cost + after)) END, 0)"
+        parts.append(f"p{i} AS (SELECT {keys}, size, mean, top, pt + {move} AS w FROM b{i})")
+        from_ = f"p{i}"
+    last = f"({em1.format(w='w')})"
+    parts.append(f"""ts AS (SELECT {keys}, any_value(p.w) AS w, any_value(mean) AS mean, any_value(top) AS top, sum(x.n * ({l1p.format(x=f'{last} / p.top * x.y')})) / any_value(size) AS m
+   FROM {src} x JOIN {from_} p USING ({keys}) GROUP BY {keys}),
+ tail AS (SELECT {keys}, CASE WHEN abs(w) < 1e-12 OR abs({xi}) < {xi_eps} THEN 0 ELSE {xi} END AS xi,
+   CASE WHEN abs(w) < 1e-12 OR abs({xi}) < {xi_eps} THEN greatest(mean, 1e-9) ELSE greatest(({xi}) * top / {last}, 1e-9) END AS beta, 'mle' AS estimator FROM ts)""")
+    return ", ".join(parts)
+
+
+@query("t15_spot_threshold", f"""WITH {GAP}, sr AS (SELECT op_category, delta_seconds, row_number() OVER (PARTITION BY op_category ORDER BY row_index) AS i, count(*) OVER (PARTITION BY op_category) AS n FROM gap WHERE delta_seconds IS NOT NULL),
+ sc AS (SELECT * FROM sr WHERE i <= least(greatest(ceil(n * 0.8), 21), n)),
+ st AS (SELECT op_category, 'upper' AS side, delta_seconds AS x FROM sc UNION ALL SELECT op_category, 'lower', -delta_seconds FROM sc),
+ su AS (SELECT op_category, side, quantile_cont(x, 0.98) AS u, count(*) AS n FROM st GROUP BY ALL),
+ sy AS (SELECT st.op_category, st.side, x - u AS y, count(*) AS n FROM st JOIN su USING (op_category, side) WHERE x > u GROUP BY ALL),
+ se AS (SELECT op_category, side, sum(n)::BIGINT AS n_exc FROM sy GROUP BY ALL),
+ sx AS (SELECT sy.* FROM sy JOIN se USING (op_category, side) WHERE n_exc >= 20), {_tail_fit_sql('op_category, side', 'sx', (-0.49, 10.0), 1e-8)},
+ sl AS (SELECT su.*, xi, beta, coalesce(n_exc, 0) / su.n AS p FROM su LEFT JOIN se USING (op_category, side) LEFT JOIN tail USING (op_category, side)),
+ sq AS (SELECT *, CASE WHEN xi IS NULL THEN NULL WHEN 1e-3 >= p THEN u WHEN abs(xi) < 1e-8 THEN u + beta * ln(p / 1e-3) ELSE u + beta / xi * (pow(p / 1e-3, xi) - 1) END AS tau FROM sl)
+ SELECT op_category, max(n) AS n, round(max(tau) FILTER (side = 'upper'), 3) AS tau_hi, round(-max(tau) FILTER (side = 'lower'), 4) + 0.0 AS tau_lo,
+   max(CASE WHEN xi IS NULL THEN side || '_insufficient_exceedances' END) AS reason FROM sq GROUP BY op_category""")
+def _(spark, sf):
+    found = G.spot_threshold(gaps(spark, sf).where("delta_seconds IS NOT NULL"), ["op_category"], "delta_seconds", calib_frac=0.8, index="row_index", min_exceed=20)
+    return found.select("op_category", "n", F.round("tau_hi", 3).alias("tau_hi"), (F.round("tau_lo", 4) + F.lit(0.0)).alias("tau_lo"), "reason")
 
 
 def _spot_rows(spark, sf):
@@ -505,14 +544,17 @@ def _(spark, sf):
     return G.calibrate(_spot_rows(spark, sf), ["op_category"], "log_dt")
 
 
-@query("t17_tail_fit")
+@query("t17_tail_fit", f"""WITH {GAP}, fu AS (SELECT op_category, quantile_cont(delta_seconds, 0.9) AS u FROM gap WHERE delta_seconds IS NOT NULL GROUP BY ALL),
+ fy AS (SELECT gap.op_category, delta_seconds - u AS y, count(*) AS n FROM gap JOIN fu USING (op_category) WHERE delta_seconds > u GROUP BY ALL),
+ {_tail_fit_sql('op_category', 'fy', G.XI_RANGE, 1e-6)} SELECT op_category, round(xi, 5) + 0.0 AS xi, round(beta, 2) AS beta, estimator FROM tail""")
 def _(spark, sf):
     u = quantiles(_spot_rows(spark, sf), ["op_category"], "delta_seconds", {"u": 0.9})
     from ..scale import join_on, weighted
 
     over = join_on(_spot_rows(spark, sf), u, ["op_category"], "inner").where("delta_seconds > u")
     over = over.select("op_category", (F.col("delta_seconds") - F.col("u")).alias("y"))
-    return G.fit_tails(weighted(over, ["op_category"], "y"), ["op_category"])
+    fit = G.fit_tails(weighted(over, ["op_category"], "y"), ["op_category"])
+    return fit.select("op_category", (F.round("xi", 5) + F.lit(0.0)).alias("xi"), F.round("beta", 2).alias("beta"), "estimator")
 
 
 def spot_entries(spark, sf):

@@ -1,5 +1,7 @@
 """Chunked evaluation equals the plain one, wherever the cuts fall."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -176,12 +178,36 @@ def test_large_mixture_equals_small(cut, log):
             assert large[k] == pytest.approx(v, rel=1e-4, abs=1e-3)
 
 
-def test_large_tail_fit_equals_small(cut, log):
+def test_tail_fit_equals_sample_and_beats_neighbours(spark, log):
     exc = S.durable(S.weighted(log.where("value > 40").select("event", (F.col("value") - 40).alias("y")), ["event"], "y"))
-    small = {r["event"]: (r["xi"], r["beta"]) for r in G.fit_tails(exc, ["event"]).collect()}
-    large = {r["event"]: (r["xi"], r["beta"]) for r in G._fit_large(exc, ["event"], 1e-6).collect()}
-    for k, v in small.items():
-        assert large[k] == pytest.approx(v, rel=1e-3, abs=1e-3)
+    pdf = exc.toPandas()
+    for r in G.fit_tails(exc, ["event"]).collect():
+        y, n = (pdf[pdf["event"] == r["event"]][c].to_numpy(float) for c in ("y", "n"))
+        want = G.fit_excesses(y, n, 1e-6)
+        assert (r["xi"], r["beta"]) == pytest.approx(want[:2], rel=1e-6, abs=1e-8) and r["estimator"] == want[2] == "mle"
+
+        def cost(xi, beta, y=y, n=n):
+            inside = 1 + xi * y / beta
+            return math.inf if (inside <= 0).any() else n.sum() * math.log(beta) + (1 + 1 / xi) * (n * np.log(inside)).sum()
+
+        for dx, db in ((1e-3, 1), (-1e-3, 1), (0, 1.002), (0, 0.998), (1e-3, 0.998), (-1e-3, 1.002)):
+            if G.XI_RANGE[0] <= r["xi"] + dx <= G.XI_RANGE[1]:
+                assert cost(r["xi"], r["beta"]) <= cost(r["xi"] + dx, r["beta"] * db) + 1e-9
+
+
+@pytest.mark.parametrize("bounds", [G.XI_RANGE, (-0.49, 10.0)])
+def test_tail_fit_of_odd_groups(spark, bounds):
+    rng = np.random.default_rng(5)
+    groups = {"zero": [0.0] * 9, "one": [3.0], "equal": [2.0] * 7, "uniform": rng.random(400), "heavy": rng.random(900) ** -4.0, None: rng.exponential(2, 500)}
+    rows = [(k, float(v), 1) for k, vs in groups.items() for v in vs]
+    exc = S.weighted(spark.createDataFrame(rows, "k string, y double, one int"), ["k"], "y")
+    got = {r["k"]: r for r in G.fit_tails(exc, ["k"], 1e-8, bounds).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        want = G.fit_excesses(np.array(vs, float), np.ones(len(vs)), 1e-8, bounds)
+        assert got[k]["estimator"] == want[2] == ("quantile" if k == "zero" else "mle")
+        assert (got[k]["xi"], got[k]["beta"]) == pytest.approx(want[:2], rel=1e-5, abs=1e-7)
+        assert bounds[0] <= got[k]["xi"] <= bounds[1]
 
 
 def test_tail_fit_recovers_parameters():
