@@ -334,18 +334,18 @@ def _(spark, sf):
     return J.without_groups(r, held, ["group"]).select("session_id")
 
 
-@query("j8_merged_intervals", f"""WITH {_G2}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM ra WHERE fold=1 AND role='validation'), r AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+@query("j8_merged_intervals", f"""WITH {_G2}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM ra WHERE role='validation'), r AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
   g AS (SELECT s, e, sum(CASE WHEN reach IS NULL OR s>reach THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM r) SELECT min(s) AS start_s, max(e) AS end_s FROM g GROUP BY g""")
 def _(spark, sf):
     return J.merged_intervals(_fences(spark, sf), "start_s", "end_s")
 
 
 def _fences(spark, sf):
-    r = _roll(spark, sf).where("fold = 1 AND role = 'validation'")
+    r = _roll(spark, sf).where("role = 'validation'")
     return r.select((F.col("start_s") - 60).alias("start_s"), (F.col("end_s") + 120).alias("end_s"))
 
 
-@query("j8_interval_antijoin", f"WITH {_G2}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM ra WHERE fold=1 AND role='validation') SELECT row_index, uid FROM ses WHERE NOT EXISTS (SELECT 1 FROM i WHERE epoch_s>=s AND epoch_s<=e)")
+@query("j8_interval_antijoin", f"WITH {_G2}, i AS (SELECT start_s-60 AS s, end_s+120 AS e FROM ra WHERE role='validation') SELECT row_index, uid FROM ses WHERE NOT EXISTS (SELECT 1 FROM i WHERE epoch_s>=s AND epoch_s<=e)")
 def _(spark, sf):
     rows = events(spark, sf).select("row_index", "uid", "epoch_s")
     return J.outside_intervals(rows, _fences(spark, sf), "epoch_s").select("row_index", "uid")

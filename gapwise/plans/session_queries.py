@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import audits as A
@@ -10,6 +11,7 @@ from ..operators import latches as L
 from ..operators import ordering as O
 from ..operators import protocol as P
 from ..operators import sessions as S
+from ..operators.groups import for_each_group
 from ..scale import at_most, quantiles
 from .contract_queries import SECRET, _hmac_sql
 from .registry import query
@@ -327,3 +329,25 @@ def _(spark, sf):
         F.when(k % 9 != 0, F.concat(F.lit("tok"), (k % 60 == 0).cast("int").cast("string"))).alias("token"),
     )
     return P.protocol_violations(rows, token="token").select("row_index", F.explode("violations").alias("reason"))
+
+
+def _streaks(key, frames):
+    """Rows of a user, and the longest run of one event kind with the gap sum inside it; state crosses the frames."""
+    n = run = best = 0
+    last = kind = None
+    for frame in frames:
+        for event in frame["event"]:
+            n, run, last = n + 1, run + 1 if event == last else 1, event
+            if run > best:
+                best, kind = run, event
+    yield pd.DataFrame({"uid": [key[0]], "n": [n], "longest": [best], "event": [kind]})
+
+
+@query("x6_each_user", f"""WITH {EV}, r AS (SELECT uid, event, row_number() OVER (PARTITION BY uid ORDER BY epoch_s, row_index) AS i,
+   row_number() OVER (PARTITION BY uid, event ORDER BY epoch_s, row_index) AS j FROM ev),
+ runs AS (SELECT uid, event, count(*) AS len, min(i) AS first FROM r GROUP BY uid, event, i - j),
+ best AS (SELECT uid, max(len) AS longest, arg_max(event, (len, -first)) AS event FROM runs GROUP BY uid)
+ SELECT uid, n, longest, event FROM best JOIN (SELECT uid, count(*) AS n FROM ev GROUP BY uid) USING (uid)""")
+def _(spark, sf):
+    rows = events(spark, sf).select("uid", "epoch_s", "row_index", "event")
+    return for_each_group(rows, ["uid"], ["epoch_s", "row_index"], _streaks, "uid string, n long, longest long, event string")

@@ -146,16 +146,14 @@ def _(spark, sf):
     )
 
 
-@query("a18_next_probability", f"""WITH {EV}, t0 AS (SELECT row_index, event AS target, lag(event) OVER (PARTITION BY uid ORDER BY epoch_s, row_index) AS context FROM ev), c AS (SELECT context, target, count(*) AS n FROM t0 WHERE context IS NOT NULL AND target<>'signup' GROUP BY 1,2), s AS (SELECT context, sum(n) AS tot, count(*) AS kinds FROM c GROUP BY context)
+@query("a18_next_probability", f"""WITH {EV}, t0 AS (SELECT row_index, event AS target, lag(event) OVER (PARTITION BY uid ORDER BY epoch_s, row_index) AS context FROM ev), c AS (SELECT context, target, count(*) AS n FROM t0 WHERE context IS NOT NULL GROUP BY 1,2), s AS (SELECT context, sum(n) AS tot, count(*) AS kinds FROM c GROUP BY context)
   SELECT row_index, round(coalesce(c.n/s.tot, 1/8.0)/CASE WHEN s.kinds IS NULL THEN 1 ELSE 1+(8-s.kinds)/8.0 END,6)+0.0 AS p FROM t0 LEFT JOIN c ON c.context=t0.context AND c.target=t0.target LEFT JOIN s ON s.context=t0.context WHERE t0.context IS NOT NULL""")
 def _(spark, sf):
     from ..operators.sequences import next_event_pairs
 
     e = events(spark, sf)
     pairs = next_event_pairs(e, ["uid"], ["epoch_s", "row_index"])
-    t = T.transitions(e, ["uid"], ["epoch_s", "row_index"], "event").where("target <> 'signup'").drop("context_n", "p")
-    sums = t.groupBy("context").agg(F.sum("n").alias("context_n"))
-    t = t.join(sums, "context").withColumn("p", F.col("n") / F.col("context_n"))
+    t = T.transitions(e, ["uid"], ["epoch_s", "row_index"], "event")
     size = e.agg((F.count_distinct("event") + 3).alias("v"))
     pairs = attach(pairs, size, [])
     return T.next_token_probability(t, pairs, F.col("v"), normalize=True).select("row_index", r6("p").alias("p"))

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gapwise.operators import contract, ordering, statistics
@@ -83,3 +85,13 @@ def test_first_to_arrive_stays(spark):
     assert {r["v"] for r in ordering.strict_order(frame, arrival="n").collect()} == {"a", "d"}
     one = {r["v"] for r in ordering.strict_order(frame).collect()}
     assert one == {r["v"] for r in ordering.strict_order(frame.repartition(3)).collect()}
+
+
+def test_next_probability_of_unseen_pairs(spark):
+    from gapwise.operators import statistics as T
+
+    trans = spark.createDataFrame([("a", "b", 3, 0.75), ("a", "c", 1, 0.25)], "context string, target string, n long, p double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "z"), ("y", "b")], "context string, target string")
+    for normalize, want in ((False, [0.75, 0.2, 0.2]), (True, [0.75 / 1.6, 0.2 / 1.6, 0.2])):
+        got = {(r["context"], r["target"]): r["p"] for r in T.next_token_probability(trans, pairs, F.lit(5), normalize).collect()}
+        assert [got[k] for k in (("a", "b"), ("a", "z"), ("y", "b"))] == pytest.approx(want)
