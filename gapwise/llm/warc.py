@@ -6,8 +6,9 @@ land in any store that Spark can write, and a lost task leaves nothing behind.
 Reading.  Archives are read in splits at every occurrence of the version line; a split gives the length of each piece, and sums over
 the splits of a file give its place in the file.  A piece whose header names a content length is a candidate: it says where
 its successor must start.  An occurrence of the version line inside a payload also looks like one, so candidates are only
-believed if they can be reached from the start of their file by following successors; pointer jumping doubles the stride
-in each round and needs log2(records of a file) rounds.  A payload that holds the version line was cut in several
+believed if they can be reached from the start of their file by following successors.  A unit of a file follows its own
+successors and says where a chain that enters it leaves it; pointer jumping over units doubles the stride in each round
+and needs log2(units of a file) rounds.  A payload that holds the version line was cut in several
 pieces and is put together again.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ END = "\r\n\r\n"
 DIGEST = "sha1:"
 #: records of one archive file, which bounds the rounds of pointer jumping
 PER_FILE = 20_000
+#: bytes of an archive whose record offsets one task follows
+UNIT = 16 << 20
+#: rows of a side that may be broadcast; beyond it the join is shuffled
+LIGHT = 100_000
 
 
 def octets(text: Column) -> Column:
@@ -63,7 +69,7 @@ def plan_records(pages: DataFrame, id_col: str, payload_col: str, uri_col: str,
         rows = rows.withColumn("nth", F.lit(0))
     groups = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("first"))
     groups = durable(groups.where("n > 1").select(F.col("digest").alias("of"), "first"))
-    rows = rows.join(groups, F.col("digest") == F.col("of"), "left")
+    rows = rows.join(light(groups), F.col("digest") == F.col("of"), "left")
     revisit = F.col("of").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first")) & (F.col("nth") == 0))
     return rows.withColumn("revisit", revisit)
 
@@ -126,24 +132,63 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     sums = durable(sums.select(F.col("file").alias("f"), F.col("start").alias("s"), base.alias("base")))
     at = F.col("base") + F.col("within") - len(VERSION)
     # the first piece of a file is what precedes its first version line
-    return split.join(sums, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s"))).select("file", at.alias("at"), "text").where("at >= 0")
+    return split.join(light(sums), (F.col("file") == F.col("f")) & (F.col("start") == F.col("s"))).select("file", at.alias("at"), "text").where("at >= 0")
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """Rows (``file``, ``at``) on the chain from offset 0 of each file; ``links`` has ``file``, ``at`` and ``next``."""
-    jump = durable(links.select("file", "at", "next"))
-    found = durable(jump.select("file").distinct().withColumn("at", F.lit(0).cast("long")))
+def light(df: DataFrame) -> DataFrame:
+    """``df`` broadcast if it has at most ``LIGHT`` rows (of a few numbers and names), so that texts joined with it stay where they are."""
+    return F.broadcast(df) if df.count() <= LIGHT else df
+
+
+def _exits(links: pd.DataFrame) -> pd.DataFrame:
+    """Where the chain from each entry of a unit first leaves the candidates of the unit."""
+    links = links.sort_values("at", ascending=False)
+    leave: dict[int, int] = {}
+    for at, to in zip(links["at"].tolist(), links["next"].tolist()):
+        leave[at] = leave.get(to, to)
+    entry = links[links["entry"]]
+    return pd.DataFrame({"file": entry["file"], "at": entry["at"], "next": [leave[at] for at in entry["at"].tolist()]})
+
+
+def _chain(links: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of a unit on the chains from its entries."""
+    links = links.sort_values("at")
+    on = set(links.loc[links["entry"], "at"].tolist())
+    for at, to in zip(links["at"].tolist(), links["next"].tolist()):
+        if at in on:
+            on.add(to)
+    return links.loc[links["at"].isin(on), ["file", "at"]]
+
+
+def reachable(links: DataFrame, unit: int = UNIT) -> DataFrame:
+    """Rows (``file``, ``at``) on the chain from offset 0 of each file; ``links`` has ``file``, ``at`` and a larger ``next``.
+
+    Files are cut in units of ``unit`` bytes.  Where another unit's candidate points to is an entry of a unit; each unit
+    resolves its entries to where their chains leave it, so the pointers that are jumped are one or a few a unit.
+    """
+    own = F.floor(F.col("at") / unit)
+    links = durable(links.where("next > at").select("file", "at", "next", own.alias("unit")))
+    outside = links.where(F.floor(F.col("next") / unit) != F.col("unit")).select("file", F.col("next").alias("at"))
+    starts = links.select("file").distinct().withColumn("at", F.lit(0).cast("long"))
+    entries = outside.unionByName(starts).distinct().withColumn("entry", F.lit(True))
+
+    def with_entries(found: DataFrame) -> DataFrame:
+        return links.join(light(found), ["file", "at"], "left").fillna({"entry": False}).groupBy("file", "unit")
+
+    jump = durable(with_entries(durable(entries)).applyInPandas(_exits, "file string, at long, next long"))
+    found = durable(starts)
     n = found.count()
     while True:
-        # all that the rows found reach with one jump, then jumps of twice the length
+        # all that the entries found reach with one jump, then jumps of twice the length
         ahead = found.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
         found = durable(found.union(ahead).distinct())
         now = found.count()
         if now == n:
-            return found.join(links.select("file", "at"), ["file", "at"], "left_semi")
+            break
         n = now
         far = jump.select("file", F.col("at").alias("next"), F.col("next").alias("later"))
         jump = durable(jump.join(far, ["file", "next"]).select("file", "at", F.col("later").alias("next")))
+    return with_entries(found.withColumn("entry", F.lit(True))).applyInPandas(_chain, "file string, at long")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -159,14 +204,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     real = durable(reachable(places.where("next IS NOT NULL")))
     # pieces that are no record belong to the payload of the last record before them; there are few
     inner = durable(places.select("file", "at").join(real, ["file", "at"], "left_anti"))
-    whole = cut.join(inner, ["file", "at"], "left_anti")
+    whole = cut.join(light(inner), ["file", "at"], "left_anti")
     owner = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     marks = real.withColumn("own", F.col("at")).unionByName(inner, allowMissingColumns=True)
     marks = marks.withColumn("own", F.last("own", True).over(owner)).join(inner, ["file", "at"], "left_semi")
-    rest = cut.join(marks, ["file", "at"]).groupBy("file", F.col("own").alias("at")).agg(
+    rest = cut.join(light(durable(marks)), ["file", "at"]).groupBy("file", F.col("own").alias("at")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: F.concat(F.lit(VERSION), x["text"])), "").alias("rest")
     )
-    whole = whole.join(durable(rest), ["file", "at"], "left")
+    whole = whole.join(light(durable(rest)), ["file", "at"], "left")
     body = F.concat(F.substring("text", body_at + len(END), F.length("text")), F.coalesce("rest", F.lit("")))
     # a record is its content and the blank lines that end it
     out = whole.select("file", "at", header.alias("header"), length.alias("length"), body.alias("body"))

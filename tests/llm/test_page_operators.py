@@ -62,10 +62,11 @@ def test_no_pages(spark):
     assert warc.round_trip(pages_of(spark, [])).count() == 0
 
 
-def test_chains(spark):
+@pytest.mark.parametrize("unit", [1, 7, 30, 500, warc.UNIT])
+def test_chains(spark, unit):
     """Only what successors reach from the start of a file counts."""
     links = [("f", i * 10, i * 10 + 10) for i in range(100)] + [("f", 55, 60), ("f", 57, 58), ("g", 5, 9), ("h", 0, 7)]
-    got = {(r["file"], r["at"]) for r in warc.reachable(spark.createDataFrame(links, "file string, at long, next long")).collect()}
+    got = {(r["file"], r["at"]) for r in warc.reachable(spark.createDataFrame(links, "file string, at long, next long"), unit).collect()}
     assert got == {("f", i * 10) for i in range(100)} | {("h", 0)}
 
 
