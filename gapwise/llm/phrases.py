@@ -29,6 +29,8 @@ MILLION = 1_000_000
 
 PIECES = r"[.,;:!?\x0A-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: the same ends of pieces one by one
+ENDS = ".,;:!?\n\x0b\x0c\r"
 
 
 #: joins whose sides are bucketed by one of their keys run bucket by bucket; a task writes its one bucket without sorting
@@ -72,10 +74,11 @@ class _Relations:
 
 
 def _texts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Lower-cased texts by bucket; a row number makes rows distinct whatever their ids."""
+    """Lower-cased texts by bucket, a line feed between spaces for the end of a piece; a row number makes rows distinct."""
+    plain = LOWER + "\n" * len(ENDS) + " "
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-        F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"),
+        F.replace(F.translate(F.coalesce("text", F.lit("")), UPPER + ENDS + "\t", plain), F.lit("\n"), F.lit(" \n ")).alias("text"),
     ).withColumn("row", F.monotonically_increasing_id())
     bucket = F.element_at(_bucket_names(docs.sparkSession, buckets), F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int") + 1)
     rows = rows.where("text <> ''").withColumn("bucket", bucket)
@@ -84,8 +87,7 @@ def _texts(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _occurrences(texts: DataFrame) -> DataFrame:
     """One row per word; a line feed stands for the end of a piece, is numbered and left out."""
-    parts = F.split(F.regexp_replace("text", PIECES, " \n "), r"[\x20\x09]+")
-    each = texts.select("bucket", "row", "lang", F.posexplode(parts).alias("pos", "word"))
+    each = texts.select("bucket", "row", "lang", F.posexplode(F.split("text", " +")).alias("pos", "word"))
     return each.where(~F.col("word").isin("", "\n"))
 
 
