@@ -2,8 +2,9 @@
 
 Letters of the lower-cased text, other characters as one space, give n-grams of 1 to 3 characters, hashed to ``DIMENSIONS`` slots.
 Document frequencies are counted over all rows to learn from.  The weights are trained by follow-the-regularised-leader
-(FTRL-proximal) with an elastic-net penalty, whose first part makes them sparse, on a bounded sample: about ``SAMPLE`` rows, shared
-evenly by the languages, chosen by a hash.  A fifth of the sample is left out and sets the temperature that calibrates the scores.
+(FTRL-proximal) with an elastic-net penalty, whose first part makes them sparse, on a bounded sample: at most ``SAMPLE`` different
+texts, shared evenly by the languages, chosen by a hash.  Copies of a text count once there, however many there are.  A fifth of the
+sample is left out and sets the temperature that calibrates the scores.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.llm.common import in_pieces
+from gapwise.scale import durable
 
 DIMENSIONS, GRAMS = 2**15, 3
 SAMPLE = 4000
@@ -136,18 +138,31 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def draw(rows: DataFrame, quota: int) -> DataFrame:
+    """At most ``quota`` different texts of each language: ``lang``, ``text`` and ``digest`` (of both), one row for all copies.
+
+    A first draw by the digest leaves about twice the quota of each language, of which the least digests stay, so no task
+    ranks more than that.
+    """
+    digest = F.md5(F.concat(F.col("lang"), F.lit(":"), F.coalesce("text", F.lit(""))))
+    rows = rows.select("lang", "text", digest.alias("digest"))
+    texts = durable(rows.select("lang", "digest").distinct())
+    share = texts.groupBy("lang").agg((F.lit(2.0 * quota + 50) / F.count("*")).alias("share"))
+    place = F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    drawn = texts.join(share, "lang").where(place < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+    few = durable(drawn.select("lang", "digest", rank.alias("rank")).where(F.col("rank") <= quota).select("lang", "digest"))
+    return rows.join(few, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.first("text").alias("text")).select("lang", "text", "digest")
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from all rows (columns ``text``, ``lang`` not null); no rows give a model that knows no language."""
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
-    classes = sorted(counts)
+    classes = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row per language
     if not classes:
         return Model([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), 1.0)
     frequency, n = frequencies(rows)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    digest = F.md5(F.concat(F.col("lang"), F.lit(":"), F.coalesce("text", F.lit(""))))
-    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    share = F.coalesce(*[F.when(F.col("lang") == c, F.lit(sample / len(classes) / counts[c])) for c in classes])
-    chosen = rows.select("lang", "text", digest.alias("digest")).where(draw < share)
+    chosen = draw(rows, -(-sample // len(classes)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -27,6 +27,49 @@ def test_language(spark, docs):
     assert np.mean([got[i]["lang_pred"] == truth[i] for i in held]) > 0.97
 
 
+def test_sample_is_bounded_whatever_is_copied(spark):
+    """A hot text gives one row of the sample; no language has more than its quota."""
+    hot = spark.range(30_000).selectExpr("'en' AS lang", "'the same text' AS text")
+    other = spark.range(3_000).selectExpr("'fr' AS lang", "concat('texte ', id) AS text")
+    odd = spark.createDataFrame([("de", None), ("de", ""), ("de", None)], "lang string, text string")
+    got = langid.draw(hot.union(other).union(odd), 100).collect()
+    by = {k: [r for r in got if r["lang"] == k] for k in ("en", "fr", "de")}
+    assert [len(by[k]) for k in by] == [1, 100, 1]
+    least = sorted(langid.draw(other, 10).collect(), key=lambda r: r["digest"])
+    assert least == sorted(by["fr"], key=lambda r: r["digest"])[:10]
+
+
+def plain_train(rows, classes):
+    """The update rule weight by weight, without arrays."""
+    z, n = {}, {}
+
+    def weight(c, i):
+        s, t = z.get((c, i), 0.0), n.get((c, i), 0.0)
+        if abs(s) <= langid.L1:
+            return 0.0
+        return -(s - (1 if s > 0 else -1) * langid.L1) / ((langid.BETA + t**0.5) / langid.ALPHA + langid.L2)
+
+    for _ in range(langid.EPOCHS):
+        for at, x, y in rows:
+            w = {(c, i): weight(c, i) for c in range(classes) for i in at}
+            e = [np.exp(sum(w[c, i] * v for i, v in zip(at, x, strict=True))) for c in range(classes)]
+            for c in range(classes):
+                for i, v in zip(at, x, strict=True):
+                    g = (e[c] / sum(e) - (c == y)) * v
+                    t = n.get((c, i), 0.0)
+                    z[c, i] = z.get((c, i), 0.0) + g - ((t + g * g) ** 0.5 - t**0.5) / langid.ALPHA * w[c, i]
+                    n[c, i] = t + g * g
+    return {k: weight(*k) for k in z}
+
+
+def test_weights_against_plain_loops():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6), int(rng.integers(3))) for _ in range(30)]
+    got, want = langid.train(rows, 3), plain_train(rows, 3)
+    assert np.allclose([got[k] for k in want], list(want.values()), atol=1e-12)
+    assert 0 < np.count_nonzero(got) <= sum(v != 0 for v in want.values())
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, None, "en"), (2, "😀 12 .", "en"), (3, "", None), (None, "the house", None), (4, "the house of the man " * 20, "en"), (5, "la maison de la reine " * 20, "fr"), (4, "the house " * 20000, "en")]
     frame = spark.createDataFrame([(i, t, g, "s", 1, 0.5, 1) for i, t, g in rows], DOCS)
