@@ -133,6 +133,73 @@ def test_tree_fits_its_table():
         assert "".join("m" if tree.share(x) > 0.5 else "b" for x in html_text.features(found)) == labels
 
 
+def w(n):
+    return " ".join(["text"] * n)
+
+
+def link(n):
+    return f"<a href='x'>{w(n)}</a>"
+
+
+def kept(page):
+    tree, found = html_text.train(), html_text.blocks(page)
+    return "".join("m" if tree.share(x) > 0.5 else "b" for x in html_text.features(found))
+
+
+def test_tree_asks_the_neighbours():
+    def asked(node):
+        return set() if node.feature < 0 else {html_text.FEATURES[node.feature]} | asked(node.left) | asked(node.right)
+
+    def leaves(node, known):
+        if node.feature < 0:
+            return [node.main]
+        x = known.get(html_text.FEATURES[node.feature])
+        return [m for side, at in ((node.left, x is None or x <= node.cut), (node.right, x is None or x > node.cut)) if at for m in leaves(side, known)]
+
+    # whatever the lengths are, text of an article stays and named boilerplate goes
+    tree = html_text.train()
+    assert min(leaves(tree, {"article": 1, "boiler": 0})) > 0.5
+    assert max(leaves(tree, {"boiler": 1})) <= 0.5
+    assert len(asked(tree) & {"words_before", "links_before", "words_after", "links_after"}) >= 2
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # pages that name nothing, none of them in the table of the tree
+        (f"<div>{link(2)}</div><div>{link(3)}</div><div>{w(8)}</div><div>{w(70)}</div><div>{w(3)}</div><div>{w(52)}</div><div>{link(2)}</div><div>{w(13)}</div>", "bbmmmmbb"),
+        (f"<p>{link(1)}</p><p>{w(4)}</p><p>{link(2)}</p><p>{w(7)}</p><p>{w(100)}</p><p>{w(5)}</p><p>{w(39)}</p><p>{link(4)}</p>", "bbbmmmmb"),
+        # names of the article or of what surrounds it are no reason to lose it
+        (f"<nav>{link(3)}</nav><article class='post form-post'><p>{w(50)}</p><p>{w(2)}</p></article><div class='ad'>{w(30)}</div>", "bmmb"),
+        (f"<div class='search header-layout'><article class=social><p>{w(50)}</p></article><div class='comments'><article class='comment'><p>{w(30)}</p></article></div></div>", "mb"),
+        (f"<body class='no-sidebar'><div class='has-sidebar'><div class='related-form'><p>{w(80)}</p><p>{w(20)}</p></div></div><div class='sidebar'><p>{w(30)}</p></div>", "mmb"),
+        (f"<form><main class='search'><p>{w(40)}</p><form>{w(30)}</form></main></form><footer>{w(60)}</footer>", "mbb"),
+        # most of the text are comments
+        (f"<article><p>{w(40)}</p></article><section id='comments'><article class='comment'><p>{w(60)}</p></article><article class='comment'><p>{w(50)}</p></article></section>", "mbb"),
+        # a short teaser is not the article
+        (f"<article><p>{w(4)}</p></article><div><h1>{w(6)}</h1><p>{w(90)}</p><p>{w(60)}</p></div>", "mmmm"),
+    ],
+)
+def test_places(page, want):
+    assert kept(page) == want
+
+
+def test_inline_adverts():
+    page = f"<article><p>{w(20)} <span class='ad'>buy <span>now</span> <b>here</b></span>and <em class='ads-box'>x</em>on.</p><p>One <span class=sponsored>two<p>Three.</article>"
+    tree = html_text.train()
+    assert html_text.main_text(page, tree) == f"{w(20)} and on.\nOne"
+    assert html_text.main_text(f"<article><p>A <img class='ad'>b <i class='shadow'>c</i></p><p>d</article>", tree) == "A b c\nd"
+
+
+def test_unmatched_end_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    found = html_text.blocks("<div>" * 100_000 + "x" + "</section>" * 100_000 + "y" + "</div>" * 100_000 + "z")
+    assert [b.text for b in found] == ["x", "y", "z"]
+    assert time.time() - start < 5
+
+
 # ------------------------------------------------------------------ URL filter
 
 
