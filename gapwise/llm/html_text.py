@@ -276,19 +276,26 @@ LABELLED = [
     (f"<div>{_w(2)}</div><div>{_w(3)}</div><div>{_w(2)}</div><div>{_w(7)}</div><div>{_w(50)}</div><div>{_w(35)} {_l(6)}</div><div>{_w(3)}</div><div>{_w(2)}</div>", "bbbmmmbb"),
     (f"<div>{_l(4)}</div><div>{_w(10)}</div><div>{_w(28)}</div><div>{_w(11)} {_l(2)}</div><div>{_w(45)}</div><div>{_l(1)}</div><div>{_w(17)} {_l(3)}</div>", "bmmmmbb"),
 ]
-for _n in (1, 4, 9, 16):
+for _n in (1, 2, 3, 5, 9, 16):
     for _m in (25, 45, 70):
         # an article among text and links that nothing names, with every kind of block in it
         LABELLED.append((f"<div>{_l(2)}</div><div>{_w(_m)}</div><article><h1>{_w(_n)}</h1><p>{_w(_m)}</p><p>{_w(_n)}</p><p>{_l(_n)}</p><p>{_w(_n)} {_l(_n)}</p><aside>{_w(_m)}</aside><p>{_w(_n)}</p></article><div>{_w(_n)}</div><div>{_w(_m)}</div><div>{_l(_n)}</div>", "bbmmmmmbmbbb"))
         LABELLED.append((f"<div class='ad'>{_w(_n)}</div><main><p>{_w(_m)}</p></main><div class='ad'>{_w(_m)}</div><div>{_w(_n)}</div>", "bmbb"))
         LABELLED.append((f"<article><p>{_l(_n)}</p><p>{_w(_m)}</p><p>{_l(_n)}</p></article>", "mmm"))
         LABELLED.append((f"<article><nav>{_l(_n)}</nav><p>{_w(_m)}</p><div class='share'>{_l(_n)}</div><p>{_l(_n)}</p></article>", "bmbm"))
+        LABELLED.append((f"<nav>{_l(_n)}</nav><article><h1>{_w(_n)}</h1><p>{_w(_n)}</p><p>{_l(_n)}</p><p>{_w(_n)}</p><p>{_w(2)}</p><p>{_w(1)}</p></article><footer>{_w(_m)}</footer>", "bmmmmmmb"))
+        LABELLED.append((f"<article><p>{_l(1)}</p><p>{_w(_n)}</p><p>{_w(_m)}</p><p>{_w(_n)}</p><p>{_l(_n)}</p><p>{_w(_n)} {_l(1)}</p></article><div>{_w(_n)}</div>", "mmmmmmb"))
         # the same without an element for the article
         LABELLED.append((f"<div>{_l(1)}</div><div>{_l(_n)}</div><div>{_w(_n)}</div><div>{_w(_m)}</div><div>{_w(_n)}</div><div>{_w(_m)}</div><div>{_l(_n)}</div><div>{_w(_n)}</div>", "bbmmmmbb"))
         LABELLED.append((f"<div class='sidebar'>{_w(_m)}</div><div>{_w(_m)}</div><div>{_w(_m + 8)}</div><div class='menu'>{_w(_n)}</div>", "bmmb"))
         LABELLED.append((f"<p>{_l(_n)}</p><p>{_w(_n)}</p><p>{_l(2)}</p><p>{_w(_m)}</p><p>{_w(_m + 3)}</p><p>{_l(_n)}</p>", "bbbmmb"))
         LABELLED.append((f"<h1>{_w(_n)}</h1><p>{_w(_m)}</p><p>{_w(_n)}</p><p>{_w(_m)}</p>", "mmmm"))
         LABELLED.append((f"<p>{_w(_m)}</p><p>{_w(_m)}</p><p>{_w(_n)}</p>", "mmm"))
+# what a page without any name is made of belongs to the text inside an article, and not inside an element of boilerplate
+for _page, _labels in [x for x in LABELLED if not re.search("<(article|main|nav|aside|form|header|footer)|class=|id=", x[0])]:
+    LABELLED.append((f"<article>{_page}</article>", "m" * len(_labels)))
+    LABELLED.append((f"<aside>{_page}</aside>", "b" * len(_labels)))
+    LABELLED.append((f"<article><aside>{_page}</aside></article>", "b" * len(_labels)))
 
 
 @dataclass
