@@ -149,7 +149,8 @@ def draw(rows: DataFrame, quota: int) -> DataFrame:
     texts = durable(rows.select("lang", "digest").distinct())
     share = texts.groupBy("lang").agg((F.lit(2.0 * quota + 50) / F.count("*")).alias("share"))
     place = F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    drawn = texts.join(share, "lang").where(place < F.col("share"))
+    # one row per language; joined before any exchange by language, so the draw happens where the texts are
+    drawn = texts.join(F.broadcast(share), "lang").where(place < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
     few = durable(drawn.select("lang", "digest", rank.alias("rank")).where(F.col("rank") <= quota).select("lang", "digest"))
     return rows.join(few, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.first("text").alias("text")).select("lang", "text", "digest")
