@@ -97,7 +97,7 @@ def _test_large(wv: DataFrame, keys: Sequence[str]) -> DataFrame:
     m2 = F.when(F.col("a3") != F.col("b3"), F.col("b3")).otherwise(F.when(same, F.col("b4") + 1e-3).otherwise(F.col("b4")))
     state = ["w1", "m1", "m2", "v1", "v2"]
     p = p.select(*keys, "size", "mean", "var", F.lit(0.5).alias("w1"), m1.alias("m1"), m2.alias("m2"),
-                 F.col("var").alias("v1"), F.col("var").alias("v2"), F.lit(False).alias("done"))
+                 F.col("var").alias("v1"), F.col("var").alias("v2"), F.lit(False).alias("done"), F.lit(False).alias("empty"))
     p = durable(p)
     x = F.col("l")
     for _ in range(ROUNDS):
@@ -115,13 +115,13 @@ def _test_large(wv: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.sum(F.col("r") * F.col("c") * F.col("c")).alias("q1"), F.sum(q * F.col("c") * F.col("c")).alias("q2"),
         )
         nxt = attach(p, sums, keys)
-        c1, c2 = F.col("x1") / F.col("s1"), F.col("x2") / F.col("s2")
+        c1, c2 = F.try_divide("x1", "s1"), F.try_divide("x2", "s2")  # NULL for an empty component
         new = {
             "w1": F.least(F.lit(1 - WEIGHT_FLOOR), F.greatest(F.lit(WEIGHT_FLOOR), F.col("s1") / F.col("size"))),
             "m1": F.col("mean") + c1,
             "m2": F.col("mean") + c2,
-            "v1": F.greatest(F.lit(VAR_FLOOR), F.col("q1") / F.col("s1") - c1 * c1),
-            "v2": F.greatest(F.lit(VAR_FLOOR), F.col("q2") / F.col("s2") - c2 * c2),
+            "v1": F.greatest(F.lit(VAR_FLOOR), F.try_divide("q1", "s1") - c1 * c1),
+            "v2": F.greatest(F.lit(VAR_FLOOR), F.try_divide("q2", "s2") - c2 * c2),
         }
         live = F.col("s1").isNotNull() & (F.col("s1") > 0) & (F.col("s2") > 0)
         shift = F.greatest(*[F.abs(new[c] - F.col(c)) for c in state])
@@ -129,6 +129,7 @@ def _test_large(wv: DataFrame, keys: Sequence[str]) -> DataFrame:
             *keys, "size", "mean", "var",
             *[F.when(F.col("done") | ~live, F.col(c)).otherwise(new[c]).alias(c) for c in state],
             (F.col("done") | ~live | (shift < TOLERANCE)).alias("done"),
+            (F.col("empty") | (~F.col("done") & ~live)).alias("empty"),
         )
         p = durable(nxt)
     rows = attach(wv, p, keys, "inner")
@@ -140,16 +141,18 @@ def _test_large(wv: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = attach(p, ll, keys)
     apart = F.abs(F.col("m1") - F.col("m2"))
     pooled = F.sqrt(F.greatest(F.lit(VAR_FLOOR), (F.col("v1") + F.col("v2")) / 2))
-    ok = (F.col("size") >= LEAST_ROWS) & (apart >= SEPARATION * pooled) & (apart >= SEPARATION * F.sqrt("var"))
+    ok = (F.col("size") >= LEAST_ROWS) & ~F.col("empty") & (apart >= SEPARATION * pooled) & (apart >= SEPARATION * F.sqrt("var"))
     bic = -2 * F.col("l1") + 2 * F.ln("size") - (-2 * F.col("l2") + 5 * F.ln("size"))
-    return out.select(*keys, F.when(ok, bic).alias("bic_difference"))
+    finite = ~F.isnan(bic) & (F.abs(bic) < F.lit(float("inf")))
+    return out.select(*keys, F.when(ok & finite, bic).alias("bic_difference"))
 
 
 def bimodality(wv: DataFrame, keys: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
     """BIC difference of one against two components per key; NULL when not separated.
 
     Groups with up to ``group_limit`` weighted values are tested inside a task,
-    larger ones by aggregates over all of them.
+    larger ones by aggregates over all of them; both follow the same steps and give the
+    same value, NULL also where a component runs empty.
     """
     keys = list(keys)
     wv = wv.select(*keys, "l", "n").groupBy(*keys, "l").agg(F.sum("n").alias("n"))

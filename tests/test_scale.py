@@ -166,6 +166,23 @@ def test_running_stats(cut, log):
             assert got[i] == pytest.approx((med, smad))
 
 
+def test_odd_mixtures_by_both_routes(spark, cut):
+    """Few rows, one value, two far values of very unequal weight, values far beyond one component: the same value or NULL."""
+    groups = {
+        "few": [(0.0, 2), (1.0, 3)],
+        "one": [(1.5, 400)],
+        "two": [(0.0, 100_000), (900.0, 1)],
+        "far": [(0.0, 30), (1e-9, 30), (1e6, 30), (-1e6, 1)],
+        "apart": [(i / 50, 3) for i in range(50)] + [(9 + i / 40, 4) for i in range(40)],
+    }
+    wv = S.durable(spark.createDataFrame([(k, float(x), n) for k, v in groups.items() for x, n in v], "event string, l double, n long"))
+    by = [{r["event"]: r["bic_difference"] for r in df.collect()} for df in (M.bimodality(wv, ["event"]), M.bimodality(wv, ["event"], group_limit=0))]
+    assert set(by[0]) == set(by[1]) == set(groups)
+    assert by[0]["few"] is None and by[0]["one"] is None and by[0]["apart"] > 0
+    for k in groups:
+        assert by[0][k] == (by[1][k] if by[1][k] is None else pytest.approx(by[1][k], rel=1e-6)), k
+
+
 def test_large_mixture_equals_small(cut, log):
     wv = S.weighted(log.where("value > 0").select("event", F.col("value").alias("x")), ["event"], "x").withColumn("l", F.ln("x"))
     wv = S.durable(wv)
