@@ -12,7 +12,7 @@ from ..streaming import stateful as T
 from ..streaming.runner import run_available
 from .contract_queries import SECRET, _hmac_sql
 from .registry import query
-from .session_queries import _ARR, _marks_sql
+from .session_queries import _A4, _ARR, _marks_sql
 from .views import CLIP, EV, GAP, IDLE, event_stream, gaps, r6
 
 
@@ -71,7 +71,10 @@ def _(spark, sf):
     )
 
 
-@query("st2_frozen_stats")
+@query("st2_frozen_stats", f"""WITH {_SF}{_A4[len(EV):]}, z AS (SELECT row_index, CASE WHEN sf1.d IS NOT NULL THEN (ln(greatest(least(sf1.d,{CLIP}),0.5)+0.5) - CASE WHEN us.uid IS NOT NULL THEN coalesce(uh.m, ghf.m) ELSE ghf.m END)
+    / greatest(1.4826 * CASE WHEN us.uid IS NOT NULL THEN coalesce(uh.d, ghf.d) ELSE ghf.d END, 1e-9) END AS z
+    FROM sf1 JOIN ghf ON ghf.hour = CAST(floor((sf1.epoch_s % 86400)/3600) AS INTEGER) LEFT JOIN us ON us.uid = sf1.uid LEFT JOIN uh ON uh.uid = sf1.uid AND uh.hour = ghf.hour)
+  SELECT row_index, round(CASE WHEN z IS NOT NULL THEN greatest(-5, least(5, z)) END,6)+0.0 AS delta_z_deseas_clipped FROM z""")
 def _(spark, sf):
     stats = durable(X.fit_robust_stats(gaps(spark, sf), epsilon=0.5))
     rows = event_stream(spark, sf).select("uid", "session_id", "epoch_s", "row_index")
