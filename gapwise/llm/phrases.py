@@ -1,10 +1,10 @@
 """Phrase collocations by relational mining of sorted occurrence relations (SETM).
 
-The words of all texts are a relation (bucket, row, pos, word); a position is left out between two pieces, so adjacent
-positions lie in one piece.  It is written to a bucketed table in the order of rows and positions.  Occurrences of the next
-length come from a merge join of the relation with itself on row and adjacent position, are counted by group, and only
-occurrences of frequent groups are written for the length after.  Buckets hold whole rows, so joins on (bucket, row, pos) move
-nothing.  What is shuffled are distinct groups per bucket with their counts: by group to add the counts up, where a group has
+The words of all texts are a relation (bucket, pos, word).  Positions run on through the texts of a bucket and are left out
+between two pieces and two texts, so adjacent positions lie in one piece.  It is written to a bucketed table in the order of
+positions.  Occurrences of the next length come from a merge join of the relation with itself on adjacent positions, are counted
+by group, and only occurrences of frequent groups are written for the length after.  Buckets hold whole texts, so joins on
+(bucket, pos) move nothing.  What is shuffled are distinct groups per bucket with their counts: by group to add the counts up, where a group has
 at most one row a bucket however often it occurs, and the frequent ones back to their buckets for the semi-join.
 
 Everything is per language, as words are: the id of a frequent word belongs to a language and a word.
@@ -74,21 +74,27 @@ class _Relations:
 
 
 def _texts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Lower-cased texts by bucket, a line feed between spaces for the end of a piece; a row number makes rows distinct."""
+    """Lower-cased texts by bucket, a line feed between spaces for the end of a piece.
+
+    ``start`` is the place of a text in its bucket: texts take more places there than they have words and ends of pieces.
+    """
     plain = LOWER + "\n" * len(ENDS) + " "
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.replace(F.translate(F.coalesce("text", F.lit("")), UPPER + ENDS + "\t", plain), F.lit("\n"), F.lit(" \n ")).alias("text"),
     ).withColumn("row", F.monotonically_increasing_id())
     bucket = F.element_at(_bucket_names(docs.sparkSession, buckets), F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int") + 1)
-    rows = rows.where("text <> ''").withColumn("bucket", bucket)
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("row")
+    rows = rows.where("text <> ''").withColumn("bucket", bucket).repartition(buckets, "bucket")
+    places = F.length("text").cast("long") + 2
+    before = F.sum(places).over(Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("bucket", F.coalesce(before, F.lit(0)).alias("start"), "lang", "text")
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
     """One row per word; a line feed stands for the end of a piece, is numbered and left out."""
-    each = texts.select("bucket", "row", "lang", F.posexplode(F.split("text", " +")).alias("pos", "word"))
-    return each.where(~F.col("word").isin("", "\n"))
+    words = F.array_remove(F.split("text", " "), "")
+    each = texts.select("bucket", "start", "lang", F.posexplode(words).alias("nth", "word"))
+    return each.where("word <> '\n'").select("bucket", (F.col("start") + F.col("nth")).alias("pos"), "lang", "word")
 
 
 def _frequent(local: DataFrame, group: list[str], least: int) -> DataFrame:
@@ -105,19 +111,19 @@ def _numbered(local: DataFrame, least: int) -> DataFrame:
     spark = local.sparkSession
     parts = partitions(spark)
     by = F.pmod(F.xxhash64("lang", "word"), F.lit(parts)).cast("int")
-    split = local.withColumn("part", by).repartition(parts, "part")
-    found = _frequent(split, ["part", "lang", "word"], least)
-    found = durable(found.withColumn("no", F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word"))))
-    sizes = found.groupBy("part").agg(F.max("no").alias("size"))
+    total = local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("part", by)
+    total = durable(total.withColumn("no", F.row_number().over(Window.partitionBy("part").orderBy("lang", "word"))))
+    sizes = total.groupBy("part").agg(F.max("no").alias("size"))
     first = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("first"))
-    return found.join(first, "part").withColumn("id", F.col("first") + F.col("no") - 1).drop("part", "no", "first")
+    total = total.join(first, "part").select("lang", "word", "f", (F.col("first") + F.col("no") - 1).alias("id"))
+    return local.join(total.hint("shuffle_hash"), ["lang", "word"])
 
 
 def _adjacent(left: DataFrame, right: DataFrame, columns: list[Column]) -> DataFrame:
-    """Merge join of two occurrence relations on row and adjacent position."""
+    """Merge join of two occurrence relations on adjacent positions."""
     a, b = left.alias("a"), right.alias("b").hint("merge")
-    same = (F.col("a.row") == F.col("b.row")) & (F.col("a.pos") + 1 == F.col("b.pos")) & (F.col("a.bucket") == F.col("b.bucket"))
-    return a.join(b, same).select("a.bucket", "a.row", "a.pos", *columns)
+    same = (F.col("a.pos") + 1 == F.col("b.pos")) & (F.col("a.bucket") == F.col("b.bucket"))
+    return a.join(b, same).select("a.bucket", "a.pos", *columns)
 
 
 def _first(pair: Column) -> Column:
@@ -147,14 +153,14 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
         known = words.select("bucket", "lang", "word", "id").hint("shuffle_hash")
         found = _occurrences(texts).join(known, ["bucket", "lang", "word"])
         earlier, kept = kept, _Relations(spark)
-        one = kept.write(found.select("bucket", "row", "pos", "id"))
+        one = kept.write(found.select("bucket", "pos", "id"))
         earlier.drop()
         pair = F.shiftleft(F.col("a.id"), 32).bitwiseOR(F.col("b.id")).alias("pair")
         two = _adjacent(one, one, [pair])
         pairs = durable(_frequent(two.groupBy("bucket", "pair").agg(F.count("*").alias("n")), ["pair"], least))
         two = two.join(pairs.select("bucket", "pair").hint("shuffle_hash"), ["bucket", "pair"], "left_semi")
         earlier, kept = kept, _Relations(spark)
-        two = kept.write(two.select("bucket", "row", "pos", "pair"))
+        two = kept.write(two.select("bucket", "pos", "pair"))
         earlier.drop()
         three = _adjacent(two, two, [F.col("a.pair").alias("pair"), _second(F.col("b.pair")).alias("id")])
         triples = durable(_frequent(three.groupBy("bucket", "pair", "id").agg(F.count("*").alias("n")), ["pair", "id"], least))
