@@ -46,8 +46,8 @@ def running_stats(
     the state of the round before, so no task holds more than a chunk.
     """
     keys, order = list(keys), list(order)
-    df = split(df, keys[:1], order[0])
-    chunk = chunk_column(keys[:1], order[0])
+    df = split(df, keys, order[0])
+    chunk = chunk_column(keys, order[0])
     fields = [f for f in df.schema.fields if f.name != chunk]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["x_med double", "x_smad double"])
 
@@ -66,7 +66,7 @@ def running_stats(
     def round_of(rows: DataFrame, state: DataFrame) -> DataFrame:
         return spread(join_on(rows, state, keys, "inner"), keys).groupBy(*keys).applyInPandas(walk, schema)
 
-    if not is_cut(df, keys[:1], order[0]):
+    if not is_cut(df, keys, order[0]):
         return round_of(df, state)
     df = durable(df)
     done = [durable(round_of(df.where(F.col(chunk) <= 0), state))]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: settings and their defaults; override with ``spark.conf.set``
 SETTINGS = {
-    "gapwise.hot.rows": 4_000_000,  # rows of one key that one task may hold
+    "gapwise.hot.rows": 500_000,  # rows of one key that one task may hold
 }
 
 
@@ -98,8 +98,13 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def chunk_column(keys: Sequence[str], order: str) -> str:
-    """Name of the chunk column; another key or order has another one."""
-    return "_".join(["_chunk", *keys, "by", order])
+    """Name of the chunk column; another first key or order has another one."""
+    return "_".join(["_chunk", *keys[:1], "by", order])
+
+
+def _cut_by(df: DataFrame, name: str) -> list[str] | None:
+    """Keys for which the chunk column was made, if there is one."""
+    return df.schema[name].metadata.get("keys") if name in df.columns else None
 
 
 def is_cut(df: DataFrame, keys: Sequence[str], order: str) -> bool:
@@ -114,25 +119,32 @@ def split(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     Rows of keys above ``gapwise.hot.rows`` are range-partitioned once by key and
     ``order`` into tasks of about that many rows, and that copy is kept; the number
     of the task is the chunk.  There is no limit on the chunks of a key.  Hot keys
-    are at most rows / hot.rows, which bounds their broadcast.  Without hot keys
-    the column is only a note that the check was done for these keys.
+    are at most rows / hot.rows, which bounds their list and its broadcast.  Without
+    hot keys the column is only a note that the check was done for these keys.
+
+    All ``keys`` count: rows that share only the first ones stay with their own key,
+    so at most two keys a cut lie on both sides of it.
     """
     keys = list(keys)
     name = chunk_column(keys, order)
-    if name in df.columns:
+    done = _cut_by(df, name)
+    if done is not None and (done == keys or (not is_cut(df, keys, order) and done == keys[: len(done)])):
         return df
-    hot_rows = setting(df.sparkSession, "gapwise.hot.rows")
+    df = df.drop(name)
+    spark = df.sparkSession
+    hot_rows = setting(spark, "gapwise.hot.rows")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = sizes.agg(F.sum("_n")).first()[0]
-    if not hot:
-        return df.withColumn(name, F.lit(-1).alias(name, metadata={"whole": True}))
-    heavy, light = df, None
+    found = sizes.collect()
+    if not found:
+        return df.withColumn(name, F.lit(-1).alias(name, metadata={"whole": True, "keys": keys}))
+    heavy, light, note = df, None, {"whole": False, "keys": keys}
     if keys:
-        marked = F.broadcast(durable(sizes.select(*keys)))
+        marked = F.broadcast(spark.createDataFrame(found, sizes.schema).select(*keys))
         heavy, light = join_on(df, marked, keys, "left_semi"), join_on(df, marked, keys, "left_anti")
-    parts = -(-hot // hot_rows)
-    heavy = durable(heavy.repartitionByRange(parts, *keys, order).withColumn(name, F.spark_partition_id()))
-    return heavy if light is None else light.withColumn(name, F.lit(-1)).unionByName(heavy)
+    parts = -(-sum(r["_n"] for r in found) // hot_rows)
+    heavy = heavy.repartitionByRange(parts, *keys, order)
+    heavy = durable(heavy.withColumn(name, F.spark_partition_id().alias(name, metadata=note)))
+    return heavy if light is None else light.withColumn(name, F.lit(-1).alias(name, metadata=note)).unionByName(heavy)
 
 
 # --------------------------------------------------------------------------- scan
@@ -268,9 +280,9 @@ def scan(
     the next row and ``last_seen`` the next non-null value.
     """
     keys, order = list(keys), list(order)
-    df = split(df, keys[:1], order[0])
-    chunk = chunk_column(keys[:1], order[0])
-    cut = is_cut(df, keys[:1], order[0])
+    df = split(df, keys, order[0])
+    chunk = chunk_column(keys, order[0])
+    cut = is_cut(df, keys, order[0])
     part = keys + ([chunk] if cut else [])
     by = [F.desc(c) if reverse else F.asc(c) for c in order]
     w = Window.partitionBy(*part).orderBy(*by)
