@@ -4,19 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scale import spread
+
 Frames = Iterator[pd.DataFrame]
 
 
+def _changes(own: pd.DataFrame) -> np.ndarray:
+    """Whether a row has another key than the row before; missing key values are equal to each other."""
+    before = own.shift()
+    return ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy(dtype=bool, copy=True)
+
+
+def key_starts(frames: Frames, keys: Sequence[str]) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+    """Frames of a sorted partition with a flag on the first row of each key, also across frames.
+
+    For operators that walk many small groups: one call per Arrow batch, not per group.
+    """
+    keys, last = list(keys), None
+    for frame in frames:
+        if len(frame):
+            own = frame[keys]
+            new, first = _changes(own), own.iloc[0].tolist()
+            new[0] = last is None or any(a != b and not (pd.isna(a) and pd.isna(b)) for a, b in zip(first, last, strict=True))
+            last = own.iloc[-1].tolist()
+            yield new, frame
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key in one partition, sorted by key and ``order``, missing values last; without keys all rows in one."""
+    by = [F.asc_nulls_last(c) for c in order]
+    return (spread(df, keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *by)
+
+
 def _runs(frames: Frames, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Cut frames where a key changes; missing key values are equal to each other."""
     for frame in frames:
-        own, before = frame[keys], frame[keys].shift()
-        differs = (own != before) & ~(own.isna() & before.isna())
-        starts = [*differs.any(axis=1).to_numpy().nonzero()[0].tolist(), len(frame)]
+        own = frame[keys]
+        starts = [*_changes(own).nonzero()[0].tolist(), len(frame)]
         starts = starts if starts[0] == 0 else [0, *starts]
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if a < b:

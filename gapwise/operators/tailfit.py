@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ from ..scale import (
     union_all,
     weighted,
 )
+from .groups import in_order, key_starts
 from .statistics import resolve_tiers, tier_levels
 
 CANDIDATES = (0.9, 0.93, 0.95, 0.975, 0.99)
@@ -41,8 +42,12 @@ def calibration_rows(df: DataFrame, first: int | None = None, between: tuple[flo
     if between is not None:
         return df.where(F.col(epoch).between(*between))
     if first is not None:
-        ranked = scan(df, [], [index], {"_no": running_sum(F.lit(1))})
-        return ranked.where(F.col("_no") <= first).select(*df.columns)
+        # the index of the last wanted row bounds the rows that are ranked, and only the index is looked at for it
+        per = df.groupBy(index).agg(F.count(F.lit(1)).alias("_n"))
+        upto = scan(durable(per), [], [index], {"_upto": running_sum("_n")}).withColumn("_before", F.col("_upto") - F.col("_n"))
+        start = upto.where(F.col("_before") < first).select(index, "_before")
+        near = join_on(df, start, [index], "inner")
+        return scan(near, [index], [index], {"_no": running_sum(F.lit(1))}).where(F.col("_before") + F.col("_no") <= first).select(*df.columns)
     return df
 
 
@@ -67,19 +72,24 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
     parallel.
     """
     keys = list(keys)
-    df = split(df, keys[:1], index)
-    chunk = chunk_column(keys[:1], index)
-    cut = is_cut(df, keys[:1], index)
+    df = split(df, keys, index)
+    chunk = chunk_column(keys, index)
+    cut = is_cut(df, keys, index)
     part = keys + ([chunk] if cut else [])
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index, kind="stable")
-        idx = pdf[index].to_numpy()
-        last = pdf["_last"].iloc[0]
-        start = 0 if pd.isna(last) else int(np.searchsorted(idx, last + r, side="right"))
-        return pdf.drop(columns=["_last"]).iloc[_greedy(idx, start, r)]
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # last kept index of the key that the frame before ended in
+        for new, pdf in key_starts(frames, part):
+            keep = np.zeros(len(pdf), dtype=bool)
+            before = pdf["_last"].tolist()
+            for i, (fresh, at) in enumerate(zip(new.tolist(), pdf[index].tolist(), strict=True)):
+                if fresh:
+                    last = None if pd.isna(before[i]) else before[i]
+                if last is None or at > last + r or (at != at and last == last):  # rows without an index come last and count once
+                    keep[i], last = True, at
+            yield pdf[keep].drop(columns="_last")
 
     def report(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         idx = np.sort(pdf[index].to_numpy())
@@ -104,10 +114,7 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
         df = join_on(df, F.broadcast(starts), part)
     else:
         df = df.withColumn("_last", F.lit(None).cast("bigint"))
-    if not part:
-        df, part = df.withColumn("_one", F.lit(1)), ["_one"]
-        return df.groupBy(*part).applyInPandas(lambda p: thin(p.drop(columns="_one")), schema).drop(chunk)
-    return spread(df, part).groupBy(*part).applyInPandas(thin, schema).drop(chunk)
+    return in_order(df, part, [index]).mapInPandas(thin, schema).drop(chunk)
 
 
 # fitting ------------------------------------------------------------------------
