@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import chunk_column, durable, is_cut, join_on, last_seen, scan, split, spread, trailing
+from .groups import in_order, key_starts
 
 
 def _votes(flag: str, n: int):
@@ -89,9 +90,9 @@ def clearing_latch(
     table = _transitions(k, n)
     latched = 2 ** (n - 1)
     keys, order = list(keys), list(order)
-    df = split(df, keys[:1], order[0])
-    chunk = chunk_column(keys[:1], order[0])
-    cut = is_cut(df, keys[:1], order[0])
+    df = split(df, keys, order[0])
+    chunk = chunk_column(keys, order[0])
+    cut = is_cut(df, keys, order[0])
     part = keys + ([chunk] if cut else [])
     df = df.withColumns(
         {
@@ -107,14 +108,15 @@ def clearing_latch(
             state = table[e, r][state]
         return pd.DataFrame([[*group, state.tolist()]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state = int(pdf["_from"].iloc[0])
-        alarm = np.zeros(len(pdf), dtype=bool)
-        for i, (e, r) in enumerate(zip(pdf["_e"].to_numpy(), pdf["_r"].to_numpy(), strict=True)):
-            state = int(table[e, r, state])
-            alarm[i] = state == latched
-        return pdf.drop(columns=["_e", "_r", "_from"]).assign(alarm=alarm)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, walk = 0, table.tolist()
+        for new, pdf in key_starts(frames, part):
+            alarm = np.zeros(len(pdf), dtype=bool)
+            steps = zip(new.tolist(), *[pdf[c].tolist() for c in ("_e", "_r", "_from")], strict=True)
+            for i, (fresh, e, r, begin) in enumerate(steps):
+                state = walk[e][r][begin if fresh else state]
+                alarm[i] = state == latched
+            yield pdf.drop(columns=["_e", "_r", "_from"]).assign(alarm=alarm)
 
     if cut:
         slim = df.where(F.col(chunk) >= 0).select(*dict.fromkeys([*part, *order, "_e", "_r"]))
@@ -131,4 +133,4 @@ def clearing_latch(
         df = df.withColumn("_from", F.lit(0).cast("bigint"))
     fields = [f for f in df.schema.fields if f.name not in ("_e", "_r", "_from")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["alarm boolean"])
-    return spread(df, part).groupBy(*part).applyInPandas(run, schema)
+    return in_order(df, part, order).mapInPandas(run, schema)
