@@ -288,7 +288,8 @@ def bootstrap_rows(df: DataFrame, order: Sequence[str], block: int, replicates:
     """Stationary block bootstrap: blocks of mean length ``block`` with wraparound.
 
     Every replicate draws as many rows as the table has, which is what the
-    method asks for; replicates share nothing and run side by side.
+    method asks for; replicates share nothing and run side by side.  Only blocks
+    are ordered and shuffled; their rows appear in the join with the table.
     """
     rows = scan(df, [], order, {"_i": running_sum(F.lit(1))}).withColumn("_i", F.col("_i") - 1)
     rows = rows.drop(*[c for c in rows.columns if c.startswith("_chunk")])
@@ -296,12 +297,27 @@ def bootstrap_rows(df: DataFrame, order: Sequence[str], block: int, replicates:
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
     places = attach(rows.select(F.col("_i").alias("pos")), n, [])
     places = places.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # only the first place of each block is kept: one place in ``block``, not one in one, is ordered
     fresh = (F.col("pos") == 0) | (_draw(seed, "cut", F.col("replicate"), F.col("pos")) < F.lit(2**32 // max(block, 1)))
-    start = F.when(fresh, F.struct(F.col("pos").alias("at"), (_draw(seed, "start", F.col("replicate"), F.col("pos")) % F.col("_n")).alias("from")))
-    places = scan(places.withColumn("_s", start), ["replicate"], ["pos"], {"_b": last_seen("_s", inclusive=True)})
-    at = F.pmod(F.col("_b.from") + F.col("pos") - F.col("_b.at"), F.col("_n"))
-    drawn = places.select("replicate", "pos", at.alias("_i"))
-    return drawn.join(rows, "_i").drop("_i")
+    blocks = durable(places.where(fresh).withColumn("_from", _draw(seed, "start", F.col("replicate"), F.col("pos")) % F.col("_n")))
+    blocks = scan(blocks, ["replicate"], ["pos"], {"_next": previous("pos")}, reverse=True)
+    length = F.coalesce("_next", "_n") - F.col("pos")
+    blocks = blocks.select("replicate", "pos", "_n", "_from", length.alias("_len"))
+    # a block runs over rows _from to _to counted on past the end; it meets the rows in short equal strips
+    strip = max(block, 1)
+    end = F.col("_from") + F.col("_len") - 1
+    turns = F.sequence(F.lit(0).cast("bigint"), F.floor(end / F.col("_n")))
+    blocks = blocks.select("replicate", "pos", "_n", "_from", end.alias("_to"), F.explode(turns).alias("_turn"))
+    low = F.greatest(F.col("_from") - F.col("_turn") * F.col("_n"), F.lit(0))
+    high = F.least(F.col("_to") - F.col("_turn") * F.col("_n"), F.col("_n") - 1)
+    shift = F.col("pos") - F.col("_from") + F.col("_turn") * F.col("_n")
+    blocks = blocks.select("replicate", shift.alias("_shift"), low.alias("_low"), high.alias("_high"))
+    strips = F.sequence(F.floor(F.col("_low") / strip), F.floor(F.col("_high") / strip))
+    blocks = blocks.withColumn("_strip", F.explode(strips))
+    rows = rows.withColumn("_strip", F.floor(F.col("_i") / strip))
+    met = blocks.join(rows, (blocks["_strip"] == rows["_strip"]) & F.col("_i").between(F.col("_low"), F.col("_high")))
+    kept = [c for c in rows.columns if c not in ("_i", "_strip")]
+    return met.select("replicate", (F.col("_i") + F.col("_shift")).alias("pos"), *kept)
 
 
 def bootstrap_interval(values: DataFrame, keys: Sequence[str], metric: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
