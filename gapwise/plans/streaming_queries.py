@@ -9,7 +9,7 @@ from ..operators import online as N
 from ..scale import durable, median_mad
 from ..streaming import metrics as M
 from ..streaming import stateful as T
-from ..streaming.runner import run_available
+from ..streaming.runner import in_turns, run_available
 from .contract_queries import SECRET, _hmac_sql
 from .registry import query
 from .session_queries import _A4, _ARR, _marks_sql
@@ -91,10 +91,8 @@ def _(spark, sf):
     e = T.stream_features(event_stream(spark, sf).withColumn("session_id", F.col("uid")).select("uid", "session_id", "epoch_s", "row_index", "op_category"), 0.5, 60.0, CLIP)
     # the gaps are written first: one stateful operator per stream keeps the state small
     flat = run_available(e).where("delta_seconds IS NOT NULL").select("row_index", "op_category", "delta_seconds")
-    path = flat.inputFiles()[0].rsplit("/", 1)[0]
-    types = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(types).parquet(path).where("delta_seconds IS NOT NULL")
-    stream = stream.withColumn("log_dt", F.ln("delta_seconds")).join(entries, "op_category").withColumn("entry", F.col("op_category"))
+    # triggers follow each other by row, so the state function holds the rows of one trigger, not all of an entry
+    stream = in_turns(flat, "row_index").withColumn("log_dt", F.ln("delta_seconds")).join(entries, "op_category").withColumn("entry", F.col("op_category"))
     keep = ["entry", "row_index", "delta_seconds", "log_dt", "u", "xi", "beta", "p_ref", "q_star"]
     out = run_available(T.stream_scores(stream.select(*keep), every=1000, min_tail=20))
     return out.select("row_index", "entry", "s_evt", "alarm", "refit")
