@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..scale import attach, durable, ranked, spread
+from ..scale import attach, durable, join_on, ranked, spread
 
 # fixed values of the test
 LEAST_ROWS, ROUNDS, TOLERANCE = 6, 128, 1e-6
@@ -19,64 +20,149 @@ WEIGHT_FLOOR, VAR_FLOOR, SEPARATION = 0.1, 1e-6, 0.75
 GROUP_LIMIT = 200_000
 
 
-def _log_density(x, mean, var, log=np.log):
-    return -0.5 * (log(2 * math.pi * var) + (x - mean) ** 2 / var)
-
-
-def _test_group(x: np.ndarray, n: np.ndarray) -> float | None:
-    size = n.sum()
-    if size < LEAST_ROWS:
-        return None
-    order = np.argsort(x, kind="stable")
-    x, n = x[order], n[order]
-    upto = np.cumsum(n)
-
-    def at(rank: int) -> float:
-        return float(x[np.searchsorted(upto, min(max(rank, 0), size - 1), side="right")])
-
-    mean = float((n * x).sum() / size)
-    var = max(float((n * (x - mean) ** 2).sum() / size), VAR_FLOOR)
-    m1, m2 = at(int(size // 3) - 1), at(int(2 * size // 3))
-    if m1 == m2:
-        m1, m2 = at(int(size // 4)), at(int(3 * size // 4))
-        if m1 == m2:
-            m1, m2 = m1 - 1e-3, m2 + 1e-3
-    w1, v1, v2 = 0.5, var, var
-    for _ in range(ROUNDS):
-        odds = np.log(1 - w1) + _log_density(x, m2, v2) - np.log(w1) - _log_density(x, m1, v1)
-        r = n / (1 + np.exp(np.clip(odds, -700, 700)))
-        s1, s2 = r.sum(), (n - r).sum()
-        if not (s1 > 0 and s2 > 0):
-            return None
-        new = (
-            min(1 - WEIGHT_FLOOR, max(WEIGHT_FLOOR, s1 / size)),
-            (r * x).sum() / s1,
-            ((n - r) * x).sum() / s2,
-        )
-        nv1 = max(VAR_FLOOR, (r * (x - new[1]) ** 2).sum() / s1)
-        nv2 = max(VAR_FLOOR, ((n - r) * (x - new[2]) ** 2).sum() / s2)
-        shift = max(abs(a - b) for a, b in zip((*new, nv1, nv2), (w1, m1, m2, v1, v2), strict=True))
-        (w1, m1, m2), v1, v2 = new, nv1, nv2
-        if shift < TOLERANCE:
-            break
-    apart = abs(m1 - m2)
-    pooled = math.sqrt(max(VAR_FLOOR, (v1 + v2) / 2))
-    if apart < SEPARATION * pooled or apart < SEPARATION * math.sqrt(var):
-        return None
-    single = float((n * _log_density(x, mean, var)).sum())
-    double = float((n * np.logaddexp(np.log(w1) + _log_density(x, m1, v1), np.log(1 - w1) + _log_density(x, m2, v2))).sum())
-    out = -2 * single + 2 * math.log(size) - (-2 * double + 5 * math.log(size))
-    return out if math.isfinite(out) else None
-
-
-def _gauss(x: Column, mean: str, var: str) -> Column:
-    d = x - F.col(mean)
-    return -0.5 * (F.ln(F.lit(2 * math.pi) * F.col(var)) + d * d / F.col(var))
+class _Fits:
+    """Two components for many groups: one number per group in each array, all groups move in the same rounds.
 
+    Means are kept as distances from the mean of the group.
+    """
 
-def _test_large(wv: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same test for large groups: one aggregate over all of them per round."""
-    keys = list(keys)
+    def __init__(self, size, mean, var, m1, m2):
+        self.size, self.mean, self.var = size, mean, np.maximum(var, VAR_FLOOR)
+        self.w1, self.m1, self.m2 = np.full(len(size), 0.5), m1 - mean, m2 - mean
+        self.v1, self.v2 = self.var.copy(), self.var.copy()
+        self.empty = np.zeros(len(size), bool)
+        self.live = np.flatnonzero(size >= LEAST_ROWS)
+
+    def odds(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Terms of the log odds of the second component in the groups ``at``: base + h1 (c - m1)^2 - h2 (c - m2)^2."""
+        w1, m1, m2, v1, v2 = (a[at] for a in (self.w1, self.m1, self.m2, self.v1, self.v2))
+        return np.log(1 - w1) - np.log(w1) + 0.5 * np.log(v1 / v2), m1, m2, 0.5 / v1, 0.5 / v2
+
+    def move(self, s1, s2, m1, m2, v1, v2) -> None:
+        """Take the next weights, means and variances of the live groups; those that stop moving or run empty leave."""
+        at = self.live
+        with np.errstate(all="ignore"):
+            full = (s1 > 0) & (s2 > 0)
+            w1 = np.minimum(1 - WEIGHT_FLOOR, np.maximum(WEIGHT_FLOOR, s1 / self.size[at]))
+            v1, v2 = np.maximum(VAR_FLOOR, v1), np.maximum(VAR_FLOOR, v2)
+            shift = np.zeros(len(at))
+            for own, new in ((self.w1, w1), (self.m1, m1), (self.m2, m2), (self.v1, v1), (self.v2, v2)):
+                shift = np.maximum(shift, np.abs(new - own[at]))
+                own[at[full]] = new[full]
+        self.empty[at[~full]] = True
+        self.live = at[full & ~(shift < TOLERANCE)]
+
+    def difference(self, single: np.ndarray, double: np.ndarray) -> np.ndarray:
+        """BIC difference from both log likelihoods; NaN where the components are not apart."""
+        with np.errstate(all="ignore"):
+            apart = np.abs(self.m1 - self.m2)
+            pooled = np.sqrt(np.maximum(VAR_FLOOR, (self.v1 + self.v2) / 2))
+            ok = (self.size >= LEAST_ROWS) & ~self.empty & (apart >= SEPARATION * pooled) & (apart >= SEPARATION * np.sqrt(self.var))
+            out = -2 * single + 2 * np.log(self.size) - (-2 * double + 5 * np.log(self.size))
+        return np.where(ok & np.isfinite(out), out, np.nan)
+
+
+def _first_means(a3, b3, a4, b4) -> tuple[np.ndarray, np.ndarray]:
+    """Thirds, where they are equal quarters, where these are equal too a little apart."""
+    thirds, off = a3 != b3, np.where(a4 == b4, 1e-3, 0.0)
+    return np.where(thirds, a3, a4 - off), np.where(thirds, b3, b4 + off)
+
+
+def _test_groups(x: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BIC difference of each group of weighted values, NaN for none; ``first`` are the places where groups begin.
+
+    The values of a group follow each other in ascending order.
+    """
+    lengths = np.diff([*first, len(x)])
+    size, upto = np.add.reduceat(n, first), np.cumsum(n)
+    before = upto[first] - n[first]
+
+    def at(rank: np.ndarray) -> np.ndarray:
+        return x[np.searchsorted(upto, before + np.minimum(np.maximum(rank, 0), size - 1), side="right")]
+
+    with np.errstate(all="ignore"):
+        mean = np.add.reduceat(n * x, first) / size
+        c = x - np.repeat(mean, lengths)
+        var = np.add.reduceat(n * c * c, first) / size
+    start = _first_means(at(size // 3 - 1), at(2 * size // 3), at(size // 4), at(3 * size // 4))
+    fits = _Fits(size, mean, var, *start)
+    held = None
+    with np.errstate(all="ignore"):
+        for _ in range(ROUNDS):
+            if not len(fits.live):
+                break
+            if held is None or len(fits.live) < 0.8 * len(held):
+                held = fits.live
+                inside = np.zeros(len(size), bool)
+                inside[held] = True
+                rows = np.repeat(inside, lengths)
+                hc, hn, many = c[rows], n[rows], lengths[held]
+                starts = np.cumsum(many) - many
+            base, m1, m2, h1, h2 = (np.repeat(t, many) for t in fits.odds(held))
+            r = hn / (1 + np.exp(np.clip(base + h1 * (hc - m1) ** 2 - h2 * (hc - m2) ** 2, -700, 700)))
+            q = hn - r
+            s1, s2 = np.add.reduceat(r, starts), np.add.reduceat(q, starts)
+            m1, m2 = np.add.reduceat(r * hc, starts) / s1, np.add.reduceat(q * hc, starts) / s2
+            v1 = np.add.reduceat(r * (hc - np.repeat(m1, many)) ** 2, starts) / s1
+            v2 = np.add.reduceat(q * (hc - np.repeat(m2, many)) ** 2, starts) / s2
+            own = np.searchsorted(held, fits.live)
+            fits.move(*(a[own] for a in (s1, s2, m1, m2, v1, v2)))
+
+        def density(m, v):
+            return -0.5 * (np.repeat(np.log(2 * math.pi * v), lengths) + (c - np.repeat(m, lengths)) ** 2 / np.repeat(v, lengths))
+
+        single = np.add.reduceat(n * density(np.zeros(len(size)), fits.var), first)
+        lp1 = np.repeat(np.log(fits.w1), lengths) + density(fits.m1, fits.v1)
+        lp2 = np.repeat(np.log(1 - fits.w1), lengths) + density(fits.m2, fits.v2)
+        double = np.add.reduceat(n * np.logaddexp(lp1, lp2), first)
+    return fits.difference(single, double)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of a sorted partition cut where groups begin (``_no`` is 1), with the places of these rows."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        return table, np.flatnonzero(table.column("_no").to_numpy() == 1)
+
+    for batch in batches:
+        new = np.flatnonzero(batch.column(batch.schema.get_field_index("_no")).to_numpy() == 1)
+        if len(new):
+            last = int(new[-1])
+            if last:
+                held.append(batch.slice(0, last))
+            if held:
+                yield joined()
+            held = []
+            batch = batch.slice(last)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield joined()
+
+
+def _test_small(wv: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups that fit a task: one call per Arrow batch with all its groups."""
+    own = T.StructType([*[wv.schema[k] for k in keys], T.StructField("bic_difference", T.DoubleType())])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_groups(batches):
+            x, n = (table.column(c).to_numpy().astype(float) for c in ("l", "n"))
+            value = pa.array(_test_groups(x, n, first), pa.float64(), from_pandas=True)
+            of_first = [table.column(k).combine_chunks().take(pa.array(first)) for k in keys]
+            yield from pa.Table.from_arrays([*of_first, value], names=own.names).to_batches()
+
+    by = Window.partitionBy(*keys).orderBy("l")
+    rows = (spread(wv, keys) if keys else wv).select(*keys, "l", "n", F.row_number().over(by).alias("_no"))
+    return rows.mapInArrow(test, own)
+
+
+def _test_large(wv: DataFrame, keys: list[str]) -> DataFrame:
+    """The same test for large groups: one aggregate over all of them per round.
+
+    These groups are few, at most the rows / ``group_limit``; their numbers are kept beside the rounds.
+    """
     t = ranked(wv, keys, "l")
     size = F.col("total")
 
@@ -89,84 +175,72 @@ def _test_large(wv: DataFrame, keys: Sequence[str]) -> DataFrame:
         at(F.floor(size / 3) - 1).alias("a3"), at(F.floor(2 * size / 3)).alias("b3"),
         at(F.floor(size / 4)).alias("a4"), at(F.floor(3 * size / 4)).alias("b4"),
     )
-    dev = F.col("l") - F.col("mean")
-    var = attach(wv, start.select(*keys, "mean"), keys).groupBy(*keys).agg((F.sum(F.col("n") * dev * dev) / F.sum("n")).alias("_v"))
-    p = attach(start, var, keys).withColumn("var", F.greatest(F.col("_v"), F.lit(VAR_FLOOR)))
-    same = F.col("a4") == F.col("b4")
-    m1 = F.when(F.col("a3") != F.col("b3"), F.col("a3")).otherwise(F.when(same, F.col("a4") - 1e-3).otherwise(F.col("a4")))
-    m2 = F.when(F.col("a3") != F.col("b3"), F.col("b3")).otherwise(F.when(same, F.col("b4") + 1e-3).otherwise(F.col("b4")))
-    state = ["w1", "m1", "m2", "v1", "v2"]
-    p = p.select(*keys, "size", "mean", "var", F.lit(0.5).alias("w1"), m1.alias("m1"), m2.alias("m2"),
-                 F.col("var").alias("v1"), F.col("var").alias("v2"), F.lit(False).alias("done"), F.lit(False).alias("empty"))
-    p = durable(p)
-    x = F.col("l")
+    start = durable(durable(start).coalesce(1).withColumn("_g", F.monotonically_increasing_id()))
+    rows = attach(wv, F.broadcast(start.select(*keys, "_g", "mean")) if keys else start.select("_g", "mean"), keys, "inner")
+    rows = durable(rows.select("_g", (F.col("l") - F.col("mean")).alias("c"), F.col("n").cast("double").alias("n")))
+
+    def numbers(df: DataFrame) -> dict[str, np.ndarray]:
+        data = sorted(df.collect(), key=lambda r: r["_g"])
+        return {c: np.array([math.nan if r[c] is None else r[c] for r in data], int if c == "_g" else float) for c in df.columns}
+
+    def with_numbers(at: np.ndarray, **columns: np.ndarray) -> DataFrame:
+        """Rows of the groups ``at`` with their numbers."""
+        form = ", ".join(["_g long", *[f"{c} double" for c in columns]])
+        data = [tuple(v.item() for v in row) for row in zip(at, *columns.values(), strict=True)]
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(data, form)), "_g")
+
+    p = numbers(start.select("_g", "size", "mean", "a3", "b3", "a4", "b4"))
+    c, n = F.col("c"), F.col("n")
+    var = numbers(rows.groupBy("_g").agg((F.sum(n * c * c) / F.sum(n)).alias("var")))["var"]
+    fits = _Fits(p["size"], p["mean"], var, *_first_means(p["a3"], p["b3"], p["a4"], p["b4"]))
     for _ in range(ROUNDS):
-        if p.where("NOT done").isEmpty():
+        if not len(fits.live):
             break
-        rows = attach(wv, p.where("NOT done"), keys, "inner")
-        lp1 = F.ln("w1") + _gauss(x, "m1", "v1")
-        lp2 = F.ln(1 - F.col("w1")) + _gauss(x, "m2", "v2")
-        r = F.col("n") / (1 + F.exp(F.least(F.lit(700.0), lp2 - lp1)))
-        rows = rows.withColumns({"r": r, "c": x - F.col("mean")})
-        q = F.col("n") - F.col("r")
-        sums = rows.groupBy(*keys).agg(
-            F.sum("r").alias("s1"), F.sum(q).alias("s2"),
-            F.sum(F.col("r") * F.col("c")).alias("x1"), F.sum(q * F.col("c")).alias("x2"),
-            F.sum(F.col("r") * F.col("c") * F.col("c")).alias("q1"), F.sum(q * F.col("c") * F.col("c")).alias("q2"),
-        )
-        nxt = attach(p, sums, keys)
-        c1, c2 = F.try_divide("x1", "s1"), F.try_divide("x2", "s2")  # NULL for an empty component
-        new = {
-            "w1": F.least(F.lit(1 - WEIGHT_FLOOR), F.greatest(F.lit(WEIGHT_FLOOR), F.col("s1") / F.col("size"))),
-            "m1": F.col("mean") + c1,
-            "m2": F.col("mean") + c2,
-            "v1": F.greatest(F.lit(VAR_FLOOR), F.try_divide("q1", "s1") - c1 * c1),
-            "v2": F.greatest(F.lit(VAR_FLOOR), F.try_divide("q2", "s2") - c2 * c2),
-        }
-        live = F.col("s1").isNotNull() & (F.col("s1") > 0) & (F.col("s2") > 0)
-        shift = F.greatest(*[F.abs(new[c] - F.col(c)) for c in state])
-        nxt = nxt.select(
-            *keys, "size", "mean", "var",
-            *[F.when(F.col("done") | ~live, F.col(c)).otherwise(new[c]).alias(c) for c in state],
-            (F.col("done") | ~live | (shift < TOLERANCE)).alias("done"),
-            (F.col("empty") | (~F.col("done") & ~live)).alias("empty"),
-        )
-        p = durable(nxt)
-    rows = attach(wv, p, keys, "inner")
-    lp1 = F.ln("w1") + _gauss(x, "m1", "v1")
-    lp2 = F.ln(1 - F.col("w1")) + _gauss(x, "m2", "v2")
+        base, m1, m2, h1, h2 = fits.odds(fits.live)
+        each = with_numbers(fits.live, base=base, m1=m1, m2=m2, h1=h1, h2=h2)
+        d1, d2 = c - F.col("m1"), c - F.col("m2")
+        odds = F.col("base") + F.col("h1") * d1 * d1 - F.col("h2") * d2 * d2
+        each = each.withColumn("r", n / (1 + F.exp(F.least(F.lit(700.0), odds))))
+        r, q = F.col("r"), n - F.col("r")
+        sums = numbers(each.groupBy("_g").agg(
+            F.sum(r).alias("s1"), F.sum(q).alias("s2"), F.sum(r * c).alias("x1"), F.sum(q * c).alias("x2"),
+            F.sum(r * c * c).alias("q1"), F.sum(q * c * c).alias("q2"),
+        ))
+        with np.errstate(all="ignore"):
+            c1, c2 = sums["x1"] / sums["s1"], sums["x2"] / sums["s2"]
+            fits.move(sums["s1"], sums["s2"], c1, c2, sums["q1"] / sums["s1"] - c1 * c1, sums["q2"] / sums["s2"] - c2 * c2)
+
+    def density(m, v):
+        d = c - F.col(m)
+        return -0.5 * (F.ln(F.lit(2 * math.pi) * F.col(v)) + d * d / F.col(v))
+
+    with np.errstate(all="ignore"):
+        one = {"zero": np.zeros(len(fits.size)), "var": fits.var}
+        each = with_numbers(p["_g"], **one, u1=np.log(fits.w1), u2=np.log(1 - fits.w1), m1=fits.m1, m2=fits.m2, v1=fits.v1, v2=fits.v2)
+    lp1, lp2 = F.col("u1") + density("m1", "v1"), F.col("u2") + density("m2", "v2")
     top = F.greatest(lp1, lp2)
     both = top + F.ln(F.exp(lp1 - top) + F.exp(lp2 - top))
-    ll = rows.groupBy(*keys).agg(F.sum(F.col("n") * _gauss(x, "mean", "var")).alias("l1"), F.sum(F.col("n") * both).alias("l2"))
-    out = attach(p, ll, keys)
-    apart = F.abs(F.col("m1") - F.col("m2"))
-    pooled = F.sqrt(F.greatest(F.lit(VAR_FLOOR), (F.col("v1") + F.col("v2")) / 2))
-    ok = (F.col("size") >= LEAST_ROWS) & ~F.col("empty") & (apart >= SEPARATION * pooled) & (apart >= SEPARATION * F.sqrt("var"))
-    bic = -2 * F.col("l1") + 2 * F.ln("size") - (-2 * F.col("l2") + 5 * F.ln("size"))
-    finite = ~F.isnan(bic) & (F.abs(bic) < F.lit(float("inf")))
-    return out.select(*keys, F.when(ok & finite, bic).alias("bic_difference"))
+    ll = numbers(each.groupBy("_g").agg(F.sum(n * density("zero", "var")).alias("l1"), F.sum(n * both).alias("l2")))
+    found = [(int(g), None if math.isnan(v) else float(v)) for g, v in zip(p["_g"], fits.difference(ll["l1"], ll["l2"]), strict=True)]
+    values = rows.sparkSession.createDataFrame(found, "_g long, bic_difference double")
+    return start.join(F.broadcast(values), "_g").select(*keys, "bic_difference")
 
 
 def bimodality(wv: DataFrame, keys: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
     """BIC difference of one against two components per key; NULL when not separated.
 
-    Groups with up to ``group_limit`` weighted values are tested inside a task,
-    larger ones by aggregates over all of them; both follow the same steps and give the
+    Groups with up to ``group_limit`` weighted values are tested inside a task, many groups
+    in one call, larger ones by aggregates over all of them; both follow the same steps and give the
     same value, NULL also where a component runs empty.
     """
     keys = list(keys)
-    wv = wv.select(*keys, "l", "n").groupBy(*keys, "l").agg(F.sum("n").alias("n"))
-    types = dict(wv.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["bic_difference double"])
-
-    def test(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        value = _test_group(pdf["l"].to_numpy(float), pdf["n"].to_numpy(float))
-        return pd.DataFrame([[*group, value]], columns=[*keys, "bic_difference"])
-
-    sizes = durable(wv.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")))
-    small = attach(wv, sizes.where(F.col("_k") <= group_limit), keys, "inner").drop("_k")
-    out = (spread(small, keys) if keys else small).groupBy(*keys).applyInPandas(test, schema)
-    large = sizes.where(F.col("_k") > group_limit)
+    wv = durable(wv.select(*keys, "l", "n").groupBy(*keys, "l").agg(F.sum("n").alias("n")))
+    # at most the rows / group_limit
+    large = durable(wv.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > group_limit))
     if large.isEmpty():
-        return out
-    return out.unionByName(_test_large(durable(attach(wv, large, keys, "inner").drop("_k")), keys))
+        return _test_small(wv, keys)
+    if not keys:
+        return _test_large(wv, keys)
+    marked = F.broadcast(large.select(*keys))
+    small = _test_small(join_on(wv, marked, keys, "left_anti"), keys)
+    return small.unionByName(_test_large(durable(join_on(wv, marked, keys, "left_semi")), keys))
