@@ -370,8 +370,9 @@ def combined_session_threshold(
 
     keys = list(keys)
     wv = durable(positive(df, keys, value))
-    p = table_quantiles(ranked(wv, keys, "x"), keys, "x", {"p": q}, size="n_rows")
+    p = durable(table_quantiles(ranked(wv, keys, "x"), keys, "x", {"p": q}, size="n_rows"))
     big = wv if min_samples <= 1 else attach(wv, p.where(F.col("n_rows") >= min_samples).select(*keys, "n_rows"), keys, "inner").drop("n_rows")
+    big = big if big is wv else durable(big)
     layout = durable(log_layout(big, keys))
     otsu = durable(otsu_log(log_histogram(big, layout, keys), layout, keys))
     knee = knee_of_curve(knee_curve(big, otsu, keys), keys)
