@@ -73,18 +73,38 @@ class _Relations:
             self.spark.sql(f"DROP TABLE {self.names.pop()}")
 
 
+def _strips(docs: DataFrame, buckets: int) -> list[tuple[str, float, float]]:
+    """Languages that fill a bucket or more, each with its share of the buckets: language, begin, width.
+
+    They are at most as many as there are buckets.
+    """
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
+    sizes = durable(docs.groupBy(lang).agg(F.sum(F.octet_length("text")).alias("size")).where("size > 0"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    found = sorted(sizes.where(F.col("size") * buckets >= total).collect(), key=lambda r: r["lang"])
+    whole, out, before = sum(r["size"] for r in found), [], 0
+    for r in found:
+        out.append((r["lang"], before / whole, r["size"] / whole))
+        before += r["size"]
+    return out
+
+
 def _texts(docs: DataFrame, buckets: int) -> DataFrame:
     """Lower-cased texts by bucket, a line feed between spaces for the end of a piece.
 
-    ``start`` is the place of a text in its bucket: texts take more places there than they have words and ends of pieces.
+    Texts of a large language lie in neighbouring buckets, so that a phrase is counted in few of them; all buckets get
+    the same length of text.  ``start`` is the place of a text in its bucket: texts take more places there than they have words and ends of pieces.
     """
     plain = LOWER + "\n" * len(ENDS) + " "
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.replace(F.translate(F.coalesce("text", F.lit("")), UPPER + ENDS + "\t", plain), F.lit("\n"), F.lit(" \n ")).alias("text"),
     ).withColumn("row", F.monotonically_increasing_id())
-    bucket = F.element_at(_bucket_names(docs.sparkSession, buckets), F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int") + 1)
-    rows = rows.where("text <> ''").withColumn("bucket", bucket).repartition(buckets, "bucket")
+    strips = docs.sparkSession.createDataFrame(_strips(docs, buckets), "lang string, begin double, width double")
+    drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 32)) / (1 << 32)
+    at = F.floor((F.coalesce("begin", F.lit(0.0)) + F.coalesce("width", F.lit(1.0)) * drawn) * buckets)
+    bucket = F.element_at(_bucket_names(docs.sparkSession, buckets), F.least(at, F.lit(buckets - 1)).cast("int") + 1)
+    rows = rows.where("text <> ''").join(F.broadcast(strips), "lang", "left").withColumn("bucket", bucket).repartition(buckets, "bucket")
     places = F.length("text").cast("long") + 2
     before = F.sum(places).over(Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     return rows.select("bucket", F.coalesce(before, F.lit(0)).alias("start"), "lang", "text")
@@ -151,11 +171,11 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
         if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
             raise ValueError("more frequent words than 31 bits can number")
         known = words.select("bucket", "lang", "word", "id").hint("shuffle_hash")
-        found = _occurrences(texts).join(known, ["bucket", "lang", "word"])
+        found = _occurrences(texts).join(known, ["bucket", "lang", "word"]).withColumn("id", F.col("id").cast("int"))
         earlier, kept = kept, _Relations(spark)
         one = kept.write(found.select("bucket", "pos", "id"))
         earlier.drop()
-        pair = F.shiftleft(F.col("a.id"), 32).bitwiseOR(F.col("b.id")).alias("pair")
+        pair = F.shiftleft(F.col("a.id").cast("long"), 32).bitwiseOR(F.col("b.id").cast("long")).alias("pair")
         two = _adjacent(one, one, [pair])
         pairs = durable(_frequent(two.groupBy("bucket", "pair").agg(F.count("*").alias("n")), ["pair"], least))
         two = two.join(pairs.select("bucket", "pair").hint("shuffle_hash"), ["bucket", "pair"], "left_semi")

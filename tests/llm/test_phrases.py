@@ -56,3 +56,14 @@ def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 3_000_000_019, 3_000_000_023, 3_000_000_029
     df = spark.createDataFrame([(a, left, right)], "a long, l long, r long")
     assert phrases._scored(df, "score", "l", "r").first()["score"] == 10**6 * a * a // (left * right)
+
+
+def test_texts_of_a_language_lie_in_few_even_buckets(spark):
+    rows = [(i, f"some words of text {i % 7}", ["en", "fr", None, f"rare{i}"][i % 4], 0) for i in range(1600)]
+    texts = phrases._texts(spark.createDataFrame(rows, FORM), 8).select("bucket", "lang").collect()
+    sizes, of = {}, {}
+    for r in texts:
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
+        of.setdefault(r["lang"], set()).add(r["bucket"])
+    assert len(texts) == 1600 and len(sizes) == 8 and max(sizes.values()) < 1.5 * min(sizes.values())
+    assert all(len(of[lang]) <= 4 for lang in ("en", "fr", "und"))
