@@ -233,14 +233,18 @@ def bimodality(wv: DataFrame, keys: Sequence[str], group_limit: int = GROUP_LIMI
     in one call, larger ones by aggregates over all of them; both follow the same steps and give the
     same value, NULL also where a component runs empty.
     """
-    keys = list(keys)
-    wv = durable(wv.select(*keys, "l", "n").groupBy(*keys, "l").agg(F.sum("n").alias("n")))
+    # own names, so that no column made on the way replaces a key (T11 calls one of its keys _g)
+    keys, given = [f"_key{i}" for i in range(len(keys))], list(keys)
+    wv = wv.select(*[F.col(k).alias(own) for own, k in zip(keys, given, strict=True)], "l", "n")
+    wv = durable(wv.groupBy(*keys, "l").agg(F.sum("n").alias("n")))
     # at most the rows / group_limit
     large = durable(wv.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > group_limit))
     if large.isEmpty():
-        return _test_small(wv, keys)
-    if not keys:
-        return _test_large(wv, keys)
-    marked = F.broadcast(large.select(*keys))
-    small = _test_small(join_on(wv, marked, keys, "left_anti"), keys)
-    return small.unionByName(_test_large(durable(join_on(wv, marked, keys, "left_semi")), keys))
+        out = _test_small(wv, keys)
+    elif not keys:
+        out = _test_large(wv, keys)
+    else:
+        marked = F.broadcast(large.select(*keys))
+        small = _test_small(join_on(wv, marked, keys, "left_anti"), keys)
+        out = small.unionByName(_test_large(durable(join_on(wv, marked, keys, "left_semi")), keys))
+    return out.select(*[F.col(own).alias(k) for own, k in zip(keys, given, strict=True)], "bic_difference")
