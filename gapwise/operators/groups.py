@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,25 +22,37 @@ def _changes(own: pd.DataFrame) -> np.ndarray:
     return ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy(dtype=bool, copy=True)
 
 
-def key_starts(frames: Frames, keys: Sequence[str]) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
-    """Frames of a sorted partition with a flag on the first row of each key, also across frames.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key in one partition, sorted by key and ``order``, missing values last, ``_no`` counting from 1 in each key.
 
-    For operators that walk many small groups: one call per Arrow batch, not per group.
+    Python code that walks the partition finds the first rows of keys by ``_no`` and need not look at the keys.
     """
-    keys, last = list(keys), None
-    for frame in frames:
-        if len(frame):
-            own = frame[keys]
-            new, first = _changes(own), own.iloc[0].tolist()
-            new[0] = last is None or any(a != b and not (pd.isna(a) and pd.isna(b)) for a, b in zip(first, last, strict=True))
-            last = own.iloc[-1].tolist()
-            yield new, frame
-
-
-def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of a key in one partition, sorted by key and ``order``, missing values last; without keys all rows in one."""
-    by = [F.asc_nulls_last(c) for c in order]
-    return (spread(df, keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *by)
+    by = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
+    return (spread(df, keys) if keys else df).withColumn("_no", F.row_number().over(by))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of a sorted partition cut where groups begin (``_no`` is 1), with the places of these rows."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        return table, np.flatnonzero(table.column("_no").to_numpy() == 1)
+
+    for batch in batches:
+        new = np.flatnonzero(batch.column(batch.schema.get_field_index("_no")).to_numpy() == 1)
+        if len(new):
+            last = int(new[-1])
+            if last:
+                held.append(batch.slice(0, last))
+            if held:
+                yield joined()
+            held = []
+            batch = batch.slice(last)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield joined()
 
 
 def _runs(frames: Frames, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:

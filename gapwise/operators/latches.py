@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import chunk_column, durable, is_cut, join_on, last_seen, scan, split, spread, trailing
-from .groups import in_order, key_starts
+from .groups import numbered
 
 
 def _votes(flag: str, n: int):
@@ -110,13 +110,13 @@ def clearing_latch(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, walk = 0, table.tolist()
-        for new, pdf in key_starts(frames, part):
+        for pdf in frames:
             alarm = np.zeros(len(pdf), dtype=bool)
-            steps = zip(new.tolist(), *[pdf[c].tolist() for c in ("_e", "_r", "_from")], strict=True)
-            for i, (fresh, e, r, begin) in enumerate(steps):
-                state = walk[e][r][begin if fresh else state]
+            steps = zip(*[pdf[c].tolist() for c in ("_no", "_e", "_r", "_from")], strict=True)
+            for i, (no, e, r, begin) in enumerate(steps):
+                state = walk[e][r][begin if no == 1 else state]
                 alarm[i] = state == latched
-            yield pdf.drop(columns=["_e", "_r", "_from"]).assign(alarm=alarm)
+            yield pdf.drop(columns=["_e", "_r", "_from", "_no"]).assign(alarm=alarm)
 
     if cut:
         slim = df.where(F.col(chunk) >= 0).select(*dict.fromkeys([*part, *order, "_e", "_r"]))
@@ -133,4 +133,4 @@ def clearing_latch(
         df = df.withColumn("_from", F.lit(0).cast("bigint"))
     fields = [f for f in df.schema.fields if f.name not in ("_e", "_r", "_from")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["alarm boolean"])
-    return in_order(df, part, order).mapInPandas(run, schema)
+    return numbered(df, part, order).mapInPandas(run, schema)

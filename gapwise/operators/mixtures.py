@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import attach, durable, join_on, ranked, spread
+from ..scale import attach, durable, join_on, ranked
+from .groups import numbered, whole_groups
 
 # fixed values of the test
 LEAST_ROWS, ROUNDS, TOLERANCE = 6, 128, 1e-6
@@ -118,44 +119,18 @@ def _test_groups(x: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
     return fits.difference(single, double)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Batches of a sorted partition cut where groups begin (``_no`` is 1), with the places of these rows."""
-    held: list[pa.RecordBatch] = []
-
-    def joined() -> tuple[pa.Table, np.ndarray]:
-        table = pa.Table.from_batches(held)
-        return table, np.flatnonzero(table.column("_no").to_numpy() == 1)
-
-    for batch in batches:
-        new = np.flatnonzero(batch.column(batch.schema.get_field_index("_no")).to_numpy() == 1)
-        if len(new):
-            last = int(new[-1])
-            if last:
-                held.append(batch.slice(0, last))
-            if held:
-                yield joined()
-            held = []
-            batch = batch.slice(last)
-        if batch.num_rows:
-            held.append(batch)
-    if held:
-        yield joined()
-
-
 def _test_small(wv: DataFrame, keys: list[str]) -> DataFrame:
     """Groups that fit a task: one call per Arrow batch with all its groups."""
     own = T.StructType([*[wv.schema[k] for k in keys], T.StructField("bic_difference", T.DoubleType())])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in _whole_groups(batches):
+        for table, first in whole_groups(batches):
             x, n = (table.column(c).to_numpy().astype(float) for c in ("l", "n"))
             value = pa.array(_test_groups(x, n, first), pa.float64(), from_pandas=True)
             of_first = [table.column(k).combine_chunks().take(pa.array(first)) for k in keys]
             yield from pa.Table.from_arrays([*of_first, value], names=own.names).to_batches()
 
-    by = Window.partitionBy(*keys).orderBy("l")
-    rows = (spread(wv, keys) if keys else wv).select(*keys, "l", "n", F.row_number().over(by).alias("_no"))
-    return rows.mapInArrow(test, own)
+    return numbered(wv, keys, ["l"]).select(*keys, "l", "n", "_no").mapInArrow(test, own)
 
 
 def _test_large(wv: DataFrame, keys: list[str]) -> DataFrame:

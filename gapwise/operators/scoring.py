@@ -80,16 +80,16 @@ def score_rows(
     out = lookup(rows, stats, ["tau_hi", "tau_lo", "points"]).drop("lookup_level")
     tail = ["u", "xi", "beta", "p_ref", "theta", "q_star", "estimator"]
     key = F.concat_ws("||", "uid", "op_category")
-    out = lookup(out, tail_stats.withColumn("entry", key), [*tail, "entry"]).drop("lookup_level")
+    # the level is a matter of the entry, so it is computed once for each and not for each of its rows
+    level = adaptive_level(*[F.col(c) for c in ("u", "xi", "beta", "p_ref", "q_star")])
+    entries = tail_stats.withColumns({"entry": key, "tau_t": at_least(F.exp(level), 1e-12)})
+    out = lookup(out, entries, [*tail, "entry", "tau_t"]).drop("lookup_level")
     x, y = F.col(value), F.greatest(F.col(domain) - F.col("u"), F.lit(0.0))
-    level = adaptive_level(F.col("u"), F.col("xi"), F.col("beta"), F.col("p_ref"), F.col("q_star"))
     p = tail_probability(y, F.col("xi"), F.col("beta"), F.col("p_ref"))
-    share = cdf_position(x, F.col("points"))
+    out = out.withColumn("p_lower", cdf_position(x, F.col("points")))
     out = out.withColumns(
         {
-            "tau_t": at_least(F.exp(level), 1e-12),
-            "p_lower": share,
-            "p_upper_quantile": 1 - share,
+            "p_upper_quantile": 1 - F.col("p_lower"),
             "s_q": breach_severity(x, F.col("tau_hi"), F.col("tau_lo")),
             "p_upper_spot": F.least(F.lit(1.0), p),
             "side": F.when(F.col(domain) >= F.col("u"), "upper").otherwise("lower"),

@@ -7,8 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tails import adaptive_level, tail_threshold
 from ..scale import (
@@ -21,6 +23,7 @@ from ..scale import (
     ranked,
     running_sum,
     scan,
+    setting,
     split,
     spread,
     table_quantiles,
@@ -29,7 +32,7 @@ from ..scale import (
     union_all,
     weighted,
 )
-from .groups import in_order, key_starts
+from .groups import numbered, whole_groups
 from .statistics import resolve_tiers, tier_levels
 
 CANDIDATES = (0.9, 0.93, 0.95, 0.975, 0.99)
@@ -81,15 +84,14 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
 
     def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # last kept index of the key that the frame before ended in
-        for new, pdf in key_starts(frames, part):
+        for pdf in frames:
             keep = np.zeros(len(pdf), dtype=bool)
-            before = pdf["_last"].tolist()
-            for i, (fresh, at) in enumerate(zip(new.tolist(), pdf[index].tolist(), strict=True)):
-                if fresh:
-                    last = None if pd.isna(before[i]) else before[i]
+            for i, (no, at, before) in enumerate(zip(*[pdf[c].tolist() for c in ("_no", index, "_last")], strict=True)):
+                if no == 1:
+                    last = None if before is None or before != before else before
                 if last is None or at > last + r or (at != at and last == last):  # rows without an index come last and count once
                     keep[i], last = True, at
-            yield pdf[keep].drop(columns="_last")
+            yield pdf[keep].drop(columns=["_last", "_no"])
 
     def report(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         idx = np.sort(pdf[index].to_numpy())
@@ -114,7 +116,7 @@ def decluster(df: DataFrame, keys: Sequence[str], index: str, r: int) -> DataFra
         df = join_on(df, F.broadcast(starts), part)
     else:
         df = df.withColumn("_last", F.lit(None).cast("bigint"))
-    return in_order(df, part, [index]).mapInPandas(thin, schema).drop(chunk)
+    return numbered(df, part, [index]).mapInPandas(thin, schema).drop(chunk)
 
 
 # fitting ------------------------------------------------------------------------
@@ -165,12 +167,47 @@ def fit_excesses(y: np.ndarray, n: np.ndarray, xi_eps: float, bounds=XI_RANGE) -
     return xi, max(xi * top / math.expm1(w), 1e-9), "mle"
 
 
+def _fit_groups(y: np.ndarray, n: np.ndarray, first: np.ndarray, xi_eps: float, bounds: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """xi, beta and whether a maximum was found, for groups of finite weighted excesses that begin at ``first``; see ``fit_tails``."""
+    lengths = np.diff(np.append(first, len(y)))
+    size, top = np.add.reduceat(n, first), np.maximum.reduceat(y, first)
+    mean, each = np.add.reduceat(n * y, first) / size, np.arange(len(first))
+
+    def means(w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(n * np.log1p(np.repeat(np.expm1(w) / top, lengths) * y), first) / size
+
+    def cost(w: np.ndarray) -> np.ndarray:
+        m = means(w)
+        xi = np.clip(m, *bounds)
+        ratio = xi * top / np.expm1(w)
+        c = np.where(np.abs(w) < 1e-12, np.log(mean) + 1, np.log(np.where(ratio > 0, ratio, np.nan)) + (1 + 1 / xi) * m)
+        return np.where(np.isnan(c), np.inf, c)
+
+    with np.errstate(all="ignore"):
+        w = np.full(len(first), FIRST[0])
+        for step in (None, *STEPS):
+            offsets = FIRST[1] * np.arange(FIRST[2]) if step is None else step * (np.arange(POINTS) - POINTS // 2)
+            costs = np.stack([cost(w + o) for o in offsets])
+            best = np.argmin(costs, axis=0)
+            w = w + offsets[best]
+        before, here, after = (costs[np.clip(best + k, 0, POINTS - 1), each] for k in (-1, 0, 1))
+        bend = before - 2 * here + after
+        inner = (best > 0) & (best < POINTS - 1) & (bend > 0) & np.isfinite(bend)
+        w = w + np.where(inner, STEPS[-1] * (before - after) / (2 * bend), 0.0)
+        xi = np.clip(means(w), *bounds)
+        fitted = (top > 0) & ~np.isnan(xi)
+        flat = (np.abs(w) < 1e-12) | (np.abs(xi) < xi_eps)
+        beta = np.where(fitted & ~flat, np.maximum(xi * top / np.expm1(w), 1e-9), np.maximum(mean, np.where(fitted, 1e-9, 1e-6)))
+    return np.where(fitted & ~flat, xi, 0.0), beta, fitted
+
+
 def fit_tails(exc: DataFrame, keys: Sequence[str], xi_eps: float = 1e-6, bounds=XI_RANGE) -> DataFrame:
     """Xi, beta and estimator per key from weighted excesses (keys, y, n), for groups of any size.
 
     For a fixed ratio of xi and beta the likelihood is largest where xi is the mean of ln(1 + xi y / beta), so one variable
-    remains.  Its likelihood is evaluated on a grid for all groups in one aggregate, the grid is refined around the best
-    point four times, and a parabola through the last three points gives the maximum.  Nothing depends on the size of a group.
+    remains.  Its likelihood is evaluated on a grid, the grid is refined around the best point four times, and a parabola
+    through the last three points gives the maximum.  Groups that a task may hold (``gapwise.hot.rows``) are shuffled once and
+    take all these steps in one call for the groups of an Arrow batch; larger ones take the same steps by one aggregate each.
 
     A group with a positive excess always has such a maximum inside the bounds, so the estimators that stand behind it in
     the chain (weighted and plain moments, which need a positive excess too) have nothing left to do; a group without one has
@@ -178,6 +215,35 @@ def fit_tails(exc: DataFrame, keys: Sequence[str], xi_eps: float = 1e-6, bounds=
     """
     keys = list(keys)
     exc = durable(exc.select(*keys, F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n")).where("y >= 0"))
+    if not keys:
+        return _fit_large(exc, keys, xi_eps, bounds)
+    hot = (F.count(F.lit(1)) > setting(exc.sparkSession, "gapwise.hot.rows")) | (F.max("y") >= float("inf"))  # NaN is above it
+    # at most the rows / hot.rows, and groups with an infinite excess
+    large = durable(exc.groupBy(*keys).agg(hot.alias("_hot")).where("_hot").select(*keys))
+    if large.isEmpty():
+        return _fit_small(exc, keys, xi_eps, bounds)
+    small = _fit_small(join_on(exc, F.broadcast(large), keys, "left_anti"), keys, xi_eps, bounds)
+    return small.unionByName(_fit_large(durable(join_on(exc, F.broadcast(large), keys, "left_semi")), keys, xi_eps, bounds))
+
+
+def _fit_small(exc: DataFrame, keys: list[str], xi_eps: float, bounds: tuple[float, float]) -> DataFrame:
+    """Groups that fit a task: one call per Arrow batch with all its groups."""
+    found = [T.StructField("xi", T.DoubleType()), T.StructField("beta", T.DoubleType()), T.StructField("estimator", T.StringType())]
+    own = T.StructType([*[exc.schema[k] for k in keys], *found])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in whole_groups(batches):
+            y, n = (table.column(c).to_numpy() for c in ("y", "n"))
+            xi, beta, fitted = _fit_groups(y, n, first, xi_eps, bounds)
+            of_first = [table.column(k).combine_chunks().take(pa.array(first)) for k in keys]
+            kind = pa.array(np.where(fitted, "mle", "quantile").tolist(), pa.string())
+            yield from pa.Table.from_arrays([*of_first, pa.array(xi), pa.array(beta), kind], names=own.names).to_batches()
+
+    return numbered(exc, keys, ["y"]).select(*keys, "y", "n", "_no").mapInArrow(fit, own)
+
+
+def _fit_large(exc: DataFrame, keys: list[str], xi_eps: float, bounds: tuple[float, float]) -> DataFrame:
+    """The same fit for large groups: one aggregate over all of them per grid."""
     kept = ["_size", "_mean", "_top"]
     total_n = F.sum("n")
     base = exc.groupBy(*keys).agg(total_n.alias("_size"), (F.sum(F.col("n") * F.col("y")) / total_n).alias("_mean"), F.max("y").alias("_top"))
@@ -276,36 +342,38 @@ def calibrate(
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), index)
     wv = durable(weighted(rows, keys, "x"))
     t = ranked(wv, keys, "x")
-    names = {f"u{i}": p for i, p in enumerate(ps)}
-    base = table_quantiles(t, keys, "x", names, "simple", size="n")
-    spare = t.groupBy(*keys).agg(F.min(F.when(F.col("upto") > F.greatest(F.col("total") - min_tail, F.lit(0)), F.col("x"))).alias("x_spare"))
-    base = attach(base, spare, keys)
-    cand = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(p).alias("p0"), F.col(f"u{i}").alias("u")) for i, p in enumerate(ps)])
-    cand_rows = durable(base.select(*keys, "n", "x_spare", F.explode(cand).alias("_c")).select(*keys, "n", "x_spare", "_c.*"))
-
-    def above(levels: DataFrame) -> DataFrame:
-        lists = levels.groupBy(*keys).agg(F.collect_list(F.struct("c", "u")).alias("_l"))  # a handful per key
-        w = attach(wv, lists, keys, "inner").select(*keys, "x", "n", F.explode("_l").alias("_c")).select(*keys, "x", "n", "_c.*")
-        over = w.where("x > u").groupBy(*keys, "c").agg(F.sum("n").alias("m"))
-        return attach(levels, over, [*keys, "c"]).withColumn("m", F.coalesce("m", F.lit(0)))
-
-    first = above(cand_rows)
-    few = (F.col("m") < min_tail) & (F.col("n") >= min_tail)
-    lowered = first.select(*keys, "n", "c", "p0", F.when(few, F.least("u", "x_spare")).otherwise(F.col("u")).alias("u"), few.alias("few"))
-    second = above(lowered)
-    still = F.col("few") & (F.col("m") < min_tail)
-    levels = durable(second.select(*keys, "n", "c", "p0", F.when(still, F.col("u") - (F.abs("u") * 1e-6 + 1e-9)).otherwise(F.col("u")).alias("u")))
-
-    by = [*keys, "c"]
-    lists = levels.groupBy(*keys).agg(F.collect_list(F.struct("c", "u")).alias("_l"), F.min("u").alias("_low"))
-    over = attach(rows, lists, keys, "inner").where("x > _low")
-    over = over.select(*keys, "x", index, F.explode("_l").alias("_c")).select(*keys, "x", index, "_c.*").where("x > u")
-    over = durable(over)
-    exc = weighted(over.select(*by, (F.col("x") - F.col("u")).alias("y")), by, "y")
-    sums = exc.groupBy(*by).agg(F.sum("n").alias("n_exc"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("mean_residual"))
-    fit = fit_tails(exc, by, xi_eps)
-    kept = decluster(over.select(*by, index), by, index, r).groupBy(*by).agg(F.count(F.lit(1)).alias("clusters"))
-    c = attach(attach(attach(levels, sums, by), fit, by), kept, by)
+    us = [f"u{i}" for i in range(len(ps))]
+    base = table_quantiles(t, keys, "x", dict(zip(us, ps, strict=True)), "simple", size="n")
+    spare = F.min(F.when(F.col("upto") > F.greatest(F.col("total") - min_tail, F.lit(0)), F.struct("x", "upto", "total")))
+    spare = t.groupBy(*keys).agg(spare.alias("_s")).select(*keys, F.col("_s.x").alias("x_spare"), (F.col("_s.total") - F.col("_s.upto")).alias("m_spare"))
+    base = durable(attach(base, spare, keys))
+    above = [F.sum(F.when(F.col("x") > F.col(u), F.col("_w"))).alias(f"m_{u}") for u in us]
+    above = attach(wv.withColumnRenamed("n", "_w"), base.select(*keys, *us), keys, "inner").groupBy(*keys).agg(*above)
+    base = attach(base, above, keys)
+
+    def level(u: str):
+        """Candidate level, lowered where fewer than ``min_tail`` rows lie above it."""
+        few = (F.coalesce(F.col(f"m_{u}"), F.lit(0)) < min_tail) & (F.col("n") >= min_tail)
+        lower = F.least(F.col(u), F.col("x_spare"))
+        left = F.when(F.col("x_spare") < F.col(u), F.col("m_spare")).otherwise(F.coalesce(F.col(f"m_{u}"), F.lit(0)))
+        return F.when(few & (left < min_tail), lower - (F.abs(lower) * 1e-6 + 1e-9)).when(few, lower).otherwise(F.col(u))
+
+    # behind this a (key, candidate) goes by its number
+    base = base.select(*keys, "n", F.array(*[level(u) for u in us]).alias("_u"), (F.monotonically_increasing_id() * len(ps)).alias("_first"))
+    base = durable(base)
+    cand = F.array(*[
+        F.struct((F.col("_first") + i).alias("_id"), F.lit(i).alias("c"), F.lit(p).alias("p0"), F.get("_u", F.lit(i)).alias("u")) for i, p in enumerate(ps)
+    ])
+    levels = base.select(*keys, "n", F.explode(cand).alias("_c")).select(*keys, "n", "_c.*")
+
+    over = attach(rows, base.select(*keys, F.col("_u"), "_first"), keys, "inner").where(F.col("x") > F.array_min("_u"))
+    over = over.select("x", index, "_first", F.posexplode("_u").alias("_i", "u")).where("x > u")
+    over = durable(over.select((F.col("_first") + F.col("_i")).alias("_id"), index, (F.col("x") - F.col("u")).alias("y")))
+    exc = weighted(over, ["_id"], "y")
+    sums = exc.groupBy("_id").agg(F.sum("n").alias("n_exc"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("mean_residual"))
+    fit = fit_tails(exc, ["_id"], xi_eps)
+    kept = decluster(over.select("_id", index), ["_id"], index, r).groupBy("_id").agg(F.count(F.lit(1)).alias("clusters"))
+    c = attach(attach(attach(levels, sums, ["_id"]), fit, ["_id"]), kept, ["_id"])
     c = c.fillna({"n_exc": 0, "mean_residual": 0.0, "clusters": 0, "xi": 0.0, "beta": 1e-6, "estimator": "quantile"})
     theta = F.when(F.col("clusters") > 0, F.greatest(F.col("clusters") / F.greatest("n_exc", F.lit(1)), F.lit(1e-6))).otherwise(1.0)
     c = c.withColumns({"theta": theta, "p_ref": F.col("clusters") / F.col("n")})

@@ -104,7 +104,8 @@ def _(spark, sf):
 
 @query("c5_scored_rows")
 def _(spark, sf):
-    return S.score_rows(_spot_rows(spark, sf), durable(quantile_stats(spark, sf)), durable(spot_entries(spark, sf)))
+    rows = durable(_spot_rows(spark, sf))  # read by both fits and scored
+    return S.score_rows(rows, durable(quantile_stats(spark, sf, rows)), durable(spot_entries(spark, sf, rows)))
 
 
 @query("c6_reestimate")

@@ -95,8 +95,9 @@ _TIERS = f"""{GAP}, {_tier_quant('tg','group','uid, op_category')}, {_tier_quant
   UNION ALL SELECT uid, op_category, tier, n, tau_hi, tau_lo, q50 FROM tu UNION ALL SELECT uid, op_category, tier, n, tau_hi, tau_lo, q50 FROM tw)"""
 
 
-def quantile_stats(spark, sf):
-    return T.quantile_tiers(gaps(spark, sf).where("delta_seconds IS NOT NULL"), "delta_seconds", min_samples=14)
+def quantile_stats(spark, sf, rows=None):
+    rows = gaps(spark, sf).where("delta_seconds IS NOT NULL") if rows is None else rows
+    return T.quantile_tiers(rows, "delta_seconds", min_samples=14)
 
 
 @query("a10_quantile_tiers", f"WITH {_TIERS} SELECT uid, op_category, tier, n, {_sql('tau_hi','tau_lo','q50')} FROM res")
@@ -557,8 +558,8 @@ def _(spark, sf):
     return fit.select("op_category", (F.round("xi", 5) + F.lit(0.0)).alias("xi"), F.round("beta", 2).alias("beta"), "estimator")
 
 
-def spot_entries(spark, sf):
-    return G.calibrate_tiers(_spot_rows(spark, sf), "log_dt", min_tail=16)
+def spot_entries(spark, sf, rows=None):
+    return G.calibrate_tiers(_spot_rows(spark, sf) if rows is None else rows, "log_dt", min_tail=16)
 
 
 @query("t18_spot_tiers")
