@@ -20,7 +20,6 @@ from ..scale import (
     is_cut,
     join_on,
     quantiles,
-    ranked,
     running_sum,
     scan,
     setting,
@@ -341,12 +340,11 @@ def calibrate(
     ps = sorted({p for p in candidates if 0 < p < 1})
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), index)
     wv = durable(weighted(rows, keys, "x"))
-    t = ranked(wv, keys, "x")
+    t = scan(wv, keys, ["x"], {"upto": running_sum("n"), "total": total("n")})
     us = [f"u{i}" for i in range(len(ps))]
-    base = table_quantiles(t, keys, "x", dict(zip(us, ps, strict=True)), "simple", size="n")
-    spare = F.min(F.when(F.col("upto") > F.greatest(F.col("total") - min_tail, F.lit(0)), F.struct("x", "upto", "total")))
-    spare = t.groupBy(*keys).agg(spare.alias("_s")).select(*keys, F.col("_s.x").alias("x_spare"), (F.col("_s.total") - F.col("_s.upto")).alias("m_spare"))
-    base = durable(attach(base, spare, keys))
+    last = F.col("upto") > F.greatest(F.col("total") - min_tail, F.lit(0))  # the value that leaves fewer than min_tail rows above it
+    spare = {"x_spare": F.min(F.when(last, F.col("x"))), "m_spare": F.max(F.when(last, F.col("total") - F.col("upto")))}
+    base = durable(table_quantiles(t, keys, "x", dict(zip(us, ps, strict=True)), "simple", size="n", more=spare))
     above = [F.sum(F.when(F.col("x") > F.col(u), F.col("_w"))).alias(f"m_{u}") for u in us]
     above = attach(wv.withColumnRenamed("n", "_w"), base.select(*keys, *us), keys, "inner").groupBy(*keys).agg(*above)
     base = attach(base, above, keys)

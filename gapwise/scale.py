@@ -381,10 +381,11 @@ def table_quantiles(
     levels: Mapping[str, float],
     rule: str = "r7",
     size: str | None = None,
+    more: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Quantiles of an already ranked weighted table."""
+    """Quantiles of an already ranked weighted table, and ``more`` aggregates of it by the way."""
     t = F.col("total")
-    parts, done = [], []
+    parts, done = [c.alias(name) for name, c in (more or {}).items()], [F.col(name) for name in more or {}]
     if size:
         parts.append(F.max(t).alias(size))
         done.append(F.col(size))
